@@ -55,4 +55,5 @@ def replay(log: DataFrame, most: int = MAX_BYTES) -> DataFrame:
             rows.append((r.session, r.seq, r.op, r.artifact_id, hit, gone, store.total))
         return pd.DataFrame(rows, columns=["session", "seq", "op", "artifact_id", "hit", "evicted", "total"])
 
-    return log.groupBy("session").applyInPandas(run, "session string, seq long, op string, artifact_id string, hit boolean, evicted long, total long")
+    kind = log.schema["session"].dataType.simpleString()
+    return log.groupBy("session").applyInPandas(run, f"session {kind}, seq long, op string, artifact_id string, hit boolean, evicted long, total long")
