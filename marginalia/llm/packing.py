@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.runtime import cut
+
 BUCKETS = 64
 MAX_PATTERNS = 20_000
 
@@ -182,33 +184,27 @@ def pack(sized: DataFrame, windows: DataFrame) -> DataFrame:
     schema = "window_name string, capacity long, window_id long, doc_id long, piece long, start long, size long"
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
     items = divide(sized, windows).withColumn("bucket", bucket)
-    counts = items.groupBy("window_name", "capacity", "size", "bucket").agg(F.count("*").alias("n")).collect()  # <= kinds x capacity x buckets
-    if not counts:
+    counts = cut(items.groupBy("window_name", "capacity", "size", "bucket").agg(F.count("*").alias("n")))
+    bins = counts.groupBy("window_name", "capacity", "size").agg(F.sum("n").alias("n")).collect()  # <= capacity rows per window kind
+    if not bins:
         return spark.createDataFrame([], schema)
     histograms: dict[tuple[str, int], dict[int, int]] = {}
-    offsets: dict[str, dict[tuple[int, int], int]] = {}
-    for r in sorted(counts, key=lambda r: (r["window_name"], r["size"], r["bucket"])):
-        h = histograms.setdefault((r["window_name"], r["capacity"]), {})
-        offsets.setdefault(r["window_name"], {})[int(r["size"]), int(r["bucket"])] = h.get(int(r["size"]), 0)
-        h[int(r["size"])] = h.get(int(r["size"]), 0) + r["n"]
-    plans = {}
-    for (name, capacity), h in histograms.items():
-        plan = plan_windows(h, int(capacity))
-        off = np.zeros((int(capacity) + 1, BUCKETS), dtype=np.int64)
-        for (size, b), n in offsets[name].items():
-            off[size, b] = n
-        plans[name] = (plan.places(), off)
-    shared = spark.sparkContext.broadcast(plans)
-    order = Window.partitionBy("window_name", "size", "bucket").orderBy("doc_id", "piece")
-    ranked = items.withColumn("rank", F.row_number().over(order) - 1)
+    for r in bins:
+        histograms.setdefault((r["window_name"], int(r["capacity"])), {})[int(r["size"])] = int(r["n"])
+    shared = spark.sparkContext.broadcast({name: plan_windows(h, capacity).places() for (name, capacity), h in histograms.items()})
+    # ranks within a length: those of the buckets before, plus the place in the own bucket
+    sizes = ["window_name", "size", "bucket"]
+    before = Window.partitionBy("window_name", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*sizes, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    order = Window.partitionBy(*sizes).orderBy("doc_id", "piece")
+    ranked = items.withColumn("own", F.row_number().over(order) - 1).join(offsets, sizes).withColumn("rank", F.col("own") + F.col("offset"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for name, g in pdf.groupby("window_name", sort=False):
-                places, off = shared.value[name]
-                size = g["size"].to_numpy()
-                rank = off[size, g["bucket"].to_numpy()] + g["rank"].to_numpy()
+                places = shared.value[name]
+                size, rank = g["size"].to_numpy(), g["rank"].to_numpy()
                 base = int(max(places["start"].max(), rank.max())) + 1
                 k = np.searchsorted(places["length"] * base + places["start"], size * base + rank, side="right") - 1
                 window = places["first"][k] + (rank - places["start"][k]) // places["times"][k]
@@ -216,7 +212,7 @@ def pack(sized: DataFrame, windows: DataFrame) -> DataFrame:
             if out:
                 yield pd.concat(out)
 
-    return ranked.mapInPandas(place, schema)
+    return ranked.select("window_name", "capacity", "size", "doc_id", "piece", "start", "rank").mapInPandas(place, schema)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
