@@ -18,13 +18,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read on from there.
 
     The files are in shared storage, so a lost executor costs nothing but a new read.
+    ``keep_layout`` plans the write without run-time re-planning, so that Spark still knows by which
+    columns the rows are laid out and later aggregates by them need no shuffle.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not keep_layout:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
