@@ -184,17 +184,22 @@ def reweight(voted: DataFrame, max_rounds: int = MAX_ROUNDS, tolerance: float =
     The votes are laid out by item once; each round is a pass over them without a shuffle, plus an
     aggregate of one row per annotator, label and partition.
     """
-    voted = cut(voted.repartition("item_id"))
+    voted = cut(voted.repartition("item_id"), keep_layout=True)
     weights, small, before = None, True, None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         weights = cut(_weights(_score(voted, weights, small)))
-        small = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        now = weights.select("kind", "annotator", F.col("accuracy").alias("now")).where("voted = 0")
-        if before is not None:
-            moved = now.join(before, ["kind", "annotator"]).agg(F.max(F.abs(F.col("now") - F.col("was")))).first()[0]
-            if moved is None or moved < tolerance:
-                break
-        before = now.withColumnRenamed("now", "was")
+        now = weights.where("voted = 0").select("kind", "annotator", F.col("accuracy").alias("now"))
+        if turn == 0:
+            small = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        if small:
+            here = {(r["kind"], r["annotator"]): r["now"] for r in now.collect()}
+            moved = max((abs(v - before.get(k, 1.0)) for k, v in here.items()), default=0.0) if before is not None else 1.0
+            before = here
+        else:
+            moved = 1.0 if before is None else now.join(before, ["kind", "annotator"]).agg(F.max(F.abs(F.col("now") - F.col("was")))).first()[0]
+            before = now.withColumnRenamed("now", "was")
+        if moved is None or moved < tolerance:
+            break
     return _score(voted, weights, small), weights
 
 
