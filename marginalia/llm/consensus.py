@@ -170,12 +170,11 @@ def _weights(scored: DataFrame) -> DataFrame:
             lambda t: F.log((F.get(row, t) + SMOOTHING * F.when(t == l, F.col("accuracy")).otherwise(miss)) / (F.get("by_truth", t) + SMOOTHING)),
         )
 
-    real = per.where(F.col("annotator") != PRIOR).select("kind", "annotator", "n", "accuracy", F.posexplode(_vector(F.col("kind"), weight)).alias("voted", "w"))
-    prior = per.where(F.col("annotator") == PRIOR).select(
-        "kind", "annotator", "n", F.lit(1.0).alias("accuracy"), F.lit(-1).alias("voted"),
-        F.transform(F.try_element_at("cells", F.lit(-1)), lambda c: F.log((c + 1) / (F.col("n") + k))).alias("w"),
-    )
-    return real.unionByName(prior)
+    usual = F.transform(cell(F.lit(-1)), lambda c: F.log((c + 1) / (F.col("n") + k)))
+    is_prior = F.col("annotator") == PRIOR
+    per = per.withColumn("usual", usual).withColumn("each", _vector(F.col("kind"), weight))
+    out = per.select("kind", "annotator", "n", F.when(is_prior, 1.0).otherwise(F.col("accuracy")).alias("accuracy"), F.posexplode(F.when(is_prior, F.array("usual")).otherwise(F.col("each"))).alias("at", "w"))
+    return out.withColumn("voted", F.when(F.col("annotator") == PRIOR, -1).otherwise(F.col("at"))).drop("at")
 
 
 def reweight(voted: DataFrame, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
