@@ -36,8 +36,8 @@ def word_count(c: Column) -> Column:
 
 
 def tokens_of(units: Column, cjk: Column, words: Column) -> Column:
-    """Estimated tokens of a text with these (additive) measures."""
-    return F.when(units == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), words, F.ceil((units - cjk) / 4.0).cast("int") + cjk)).cast("int")
+    """Estimated tokens of a text with these (additive) measures; null for a null text."""
+    return F.when(units == 0, F.lit(0)).when(units.isNotNull(), F.greatest(F.lit(1), words, F.ceil((units - cjk) / 4.0).cast("int") + cjk)).cast("int")
 
 
 def estimate_tokens(c: Column) -> Column:
