@@ -365,6 +365,8 @@ def flag_defects(turns: DataFrame, keys: tuple[str, ...] = ("attempt_id", "turn"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["defect"] = [classify_pair(q, g, a) for q, g, a in zip(pdf["question"], pdf["gold"], pdf["answer"])]
-            yield pdf.loc[pdf["defect"].notna(), [*keys, "defect"]]
+            hit = pdf.loc[pdf["defect"].notna(), [*keys, "defect"]]
+            if len(hit):  # Arrow has no type for an empty frame's columns
+                yield hit
 
     return rows.mapInPandas(run, schema)

@@ -417,7 +417,8 @@ def build_trigram_index(chunks: DataFrame) -> DataFrame:
                 ids += [a] * len(hit)
                 nos += [c] * len(hit)
                 tris += hit
-            yield pd.DataFrame({"trigram": tris, "artifact_id": ids, "chunk": nos})
+            if ids:
+                yield pd.DataFrame({"trigram": tris, "artifact_id": ids, "chunk": nos})
 
     return chunks.select("artifact_id", "chunk", "lines").mapInPandas(post, "trigram string, artifact_id string, chunk int")
 
@@ -444,7 +445,9 @@ def candidates(postings: DataFrame) -> DataFrame:
 def _verified(files: DataFrame, schema: str, emit) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield emit(pdf)
+            out = emit(pdf)
+            if len(out):
+                yield out
 
     return files.mapInPandas(run, schema)
 
