@@ -88,7 +88,7 @@ def line_kind(s: str, words: list[str], ended: bool, clean: bool = False) -> str
         if ended and s.count("=") < 2:
             return "prose"
         commas = s.count(",")
-        if commas < nw / 6 and "...." not in s and s.count("=") < 2 and commas - s.count(", ") < 3:
+        if commas < nw / 6 and "...." not in s and " · " not in s and " / " not in s and s.count("=") < 2 and commas - s.count(", ") < 3:
             if sum(map(COMMON.__contains__, words)) >= 0.12 * nw:
                 return "prose"
     if _FOREIGN.search(s) and len(_FOREIGN.findall(s)) >= max(3, 0.015 * n):
