@@ -140,6 +140,7 @@ RULES = [
     Rule("sql_password", r"(?i)(?:identified\s+by|password)\s+" + _Q, "short"),
     Rule("sql_insert", r"(?i)insert\s+into\s+[\w.\"`]+\s*\((?P<cols>[^)]*)\)\s*values\s*\((?P<vals>.*)\)", "columns"),
     Rule("login_note", r"(?i)\b(?:login|user|account|admin)\b\s*[:=]\s*\w+\s*/\s*(?P<s>\S+)", "short"),
+    Rule("login_words", r"(?i)\b(?:get|log|sign) in (?:with|as|using)\s+[`\"']?\w+[`\"']?\s*/\s*[`\"']?(?P<s>[^\s`\"']+)", "short"),
     Rule("admin_row", r"(?i)\|\s*(?:admin|root|administrator)\s*\|\s*(?P<s>[^\s|]+)\s*\|", "short"),
     Rule("phrase_for", r"(?i)\b(?:passphrase|password|passcode|pass phrase)\b(?:\s+\w+){1,5}\s*(?:=|:|\bis\b)\s*[\"'`]?(?P<s>[^\s\"'`]+)", "value"),
     Rule("label_key", r"(?i)(?:api key|access key|secret key|signing key|auth token|access token|licen[cs]e key)\s*(?:\*\*)?\s*(?:=|:|\bis\b)\s*(?:\*\*)?\s*[\"'`]?(?P<s>[^\s\"'`]+)", "value"),
