@@ -12,7 +12,7 @@ from marginalia import sessions
 from marginalia.evals import dataset, ledger, schedule
 from marginalia.functions.text import WS_JAVA, estimate_tokens, fits_budget
 from marginalia.operators import images, intervals, nested, policy, retrieve, store, summarize, textindex
-from marginalia.runtime import ship, table
+from marginalia.runtime import ship, spread, table
 from marginalia.stats import robust
 from marginalia.streaming import ingest
 
@@ -25,7 +25,7 @@ ROUNDS, BOOT_SEED = 2000, 7
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "family_id", "path"))
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:

@@ -41,6 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a small input that came as fewer splits than there are cores.
+
+    Such an input is at most a split per core, so moving its rows costs little; any larger one is
+    returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, for workers that can't import it."""
     sc = spark.sparkContext
