@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import consensus, digest, mixing, packing, pairs, quality, secrets, tokens
-from marginalia.runtime import cut, ship, table
+from marginalia.runtime import cut, ship, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", *columns))
+
+
 def _sized(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return tokens.token_sizes(table(spark, d, "documents"), columns=("doc_id", *columns))
+    return tokens.token_sizes(_documents(spark, d, *columns), columns=("doc_id", *columns))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,15 +90,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_types(table(spark, d, "documents")).where("kind <> 'prose'").select("doc_id", "kind")
+    return quality.text_types(_documents(spark, d)).where("kind <> 'prose'").select("doc_id", "kind")
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_types(table(spark, d, "documents"))
+    return quality.text_types(_documents(spark, d))
 
 
 def p8_functions(spark: SparkSession, d: str) -> DataFrame:
-    return quality.labelling_functions(table(spark, d, "documents"))
+    return quality.labelling_functions(_documents(spark, d))
 
 
 _QUERIES: dict[str, Query] = {
