@@ -32,7 +32,10 @@ def cjk_units(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{WS_JAVA}]+"))
+    """Runs of characters that aren't white space, by the gaps between them (a text has fewer gaps than words' characters)."""
+    ws = f"[{WS_JAVA}]"
+    edge = lambda at: F.substring(c, at, 1).rlike(ws).cast("int")
+    return F.when(c == "", 0).otherwise(F.size(F.split(c, ws + "+")) - edge(1) - edge(-1))
 
 
 def tokens_of(units: Column, cjk: Column, words: Column) -> Column:
@@ -41,7 +44,9 @@ def tokens_of(units: Column, cjk: Column, words: Column) -> Column:
 
 
 def estimate_tokens(c: Column) -> Column:
-    return tokens_of(utf16_units(c), cjk_units(c), word_count(c))
+    """Estimated tokens of a text; its measures are bound once, so that no branch scans the text again."""
+    m = F.array(F.struct(utf16_units(c).alias("u"), cjk_units(c).alias("k"), word_count(c).alias("w")))
+    return F.get(F.transform(m, lambda x: tokens_of(x["u"], x["k"], x["w"])), F.lit(0))
 
 
 def fits_budget(estimate: Column, budget: Column) -> Column:
