@@ -202,3 +202,24 @@ def profiles(files: DataFrame, path: str = "path", content: str = "content") ->
     sha = F.sha2(F.col(content), 256)
     rows = files.select(F.col(path).alias("path"), F.concat(F.lit("image_"), F.substring(F.sha2(F.encode(F.concat(F.col(path), F.lit("\0"), sha), "utf-8"), 256), 1, 16)).alias("image_id"), F.octet_length(content).cast("long").alias("byte_length"), sha.alias("sha256"), F.col(content).alias("_data"))
     return rows.mapInPandas(run, f"path string, image_id string, byte_length long, sha256 string, {PROFILE}")
+
+
+def reinspect(index: DataFrame, files: DataFrame) -> DataFrame:
+    """Indexed images against a fresh scan: ``same``, ``source_changed`` or ``missing``."""
+    now = files.select("path", F.sha2("content", 256).alias("_sha"), F.octet_length("content").cast("long").alias("_n"))
+    state = F.when(F.col("_sha").isNull(), "missing").when((F.col("_sha") != F.col("sha256")) | (F.col("_n") != F.col("byte_length")), "source_changed").otherwise("same")
+    return index.join(now, "path", "left").withColumn("state", state).drop("_sha", "_n")
+
+
+def region_window(x: Column, y: Column, width: Column, height: Column, w: int, h: int) -> Column:
+    """A window of at most w x h centred on a point, clamped to the image."""
+    ww, hh = F.least(F.lit(w), width), F.least(F.lit(h), height)
+    x0 = F.greatest(F.lit(0), F.least(F.floor(x - ww / 2 + 0.5), width - ww))
+    y0 = F.greatest(F.lit(0), F.least(F.floor(y - hh / 2 + 0.5), height - hh))
+    return F.struct(x0.cast("int").alias("x"), y0.cast("int").alias("y"), ww.cast("int").alias("w"), hh.cast("int").alias("h"))
+
+
+def best_line(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The text line with the most hits, then the highest confidence, then the first."""
+    rest = F.struct(*[c for c in lines.columns if c not in keys])
+    return lines.where("hits > 0").groupBy(*keys).agg(F.max_by(rest, F.struct("hits", "confidence", -F.col("line_no"))).alias("r")).select(*keys, "r.*")

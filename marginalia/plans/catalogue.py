@@ -401,6 +401,45 @@ def stream_index(spark, d):
     return ingest.index_stream(docs(spark, d)).select("doc_id", "artifact_id", "line_count", "tokens")
 
 
+def graded_slots(spark, d):
+    t = turns(spark, d).where("condition_code is not null")
+    return t.groupBy("condition_code").agg(F.count("*").alias("slots"), F.count(F.when(sessions.strict_match(F.col("answer"), F.col("gold")), 1)).alias("strict"), F.count(F.when(sessions.content_match(F.col("answer"), F.col("gold")), 1)).alias("content"))
+
+
+def question_keywords(spark, d):
+    q = turns(spark, d).select("question").distinct()
+    return q.select("question", F.array_join(F.array_sort(sessions.keywords(F.col("question"), ["the", "what", "which", "please", "with"])), " ").alias("keywords"))
+
+
+def slot_costs(spark, d):
+    t = turns(spark, d).select("attempt_id", "turn", estimate_tokens(F.coalesce("question", F.lit(""))).alias("p"))
+    return t.select("attempt_id", "turn", F.round(sessions.slot_cost(F.col("p"), 60, 3, 2.5, 10.0), 9).alias("cost"))
+
+
+def paired_conditions(spark, d):
+    """Self join of two conditions' family scores, families with both only."""
+    per = _runs(spark, d).groupBy("arm", "family").agg(F.avg(F.when(F.col("outcome") == "success", 1.0).otherwise(0.0)).alias("score"))
+    a, b = (per.where(F.col("arm") == x).select("family", F.col("score").alias(n)) for x, n in (("S2", "a"), ("S0", "b")))
+    return a.join(b, "family").select("family", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"), F.round(F.col("a") - F.col("b"), 9).alias("diff"))
+
+
+def derived_arms(spark, d):
+    """Rows of a derived arm: where a run of one arm is ungraded, the sibling arm's family decides."""
+    r = _runs(spark, d).select("arm", "family", "outcome")
+    usual = r.where("arm = 'S0'").groupBy("family").agg(F.max(F.when(F.col("outcome") == "success", 1).otherwise(0)).alias("ok"))
+    derived = r.where("arm = 'S2'").join(usual, "family", "left").select(F.lit("S2R").alias("arm"), "family", F.when((F.col("outcome") == "ungraded") & (F.col("ok") == 1), "success").otherwise(F.col("outcome")).alias("outcome"))
+    return r.unionByName(derived).groupBy("arm", "outcome").agg(F.count("*").alias("runs"))
+
+
+def excerpt_replay(spark, d):
+    """Whether the first or any excerpt holds a line that names the gold phrase."""
+    e = multi_excerpt(spark, d).select("doc_id", "excerpt_no", "start_line", "end_line")
+    gold = textindex.split_lines(docs(spark, d), "doc_id", "text").where("contains(lower(text), 'packing list')").groupBy("doc_id").agg(F.min("line").alias("gold"))
+    hit = F.col("gold").between(F.col("start_line"), F.col("end_line"))
+    per = gold.join(e, "doc_id", "left").groupBy("doc_id").agg(F.coalesce(F.bool_or(hit & (F.col("excerpt_no") == 1)), F.lit(False)).alias("hit"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit_any"))
+    return per.agg(F.count("*").alias("texts"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(F.col("hit_any"), 1)).alias("hits_any"))
+
+
 # ---------------------------------------------------------------- images
 
 
@@ -457,7 +496,7 @@ _QUERIES: dict[str, Query] = {
         summary_prefix, gated_summary, policy_reasons, policy_mode, policy_artifacts, content_match, outcome_class, arm_report, paired_diff, point_estimate, bootstrap_ci,
         grouping_sets, turn_groups, two_level_mean, dataset_issues, pilot_quota, model_inputs, seeded_schedule, mock_run, exact_check, latency_nearest_rank, type7_quantiles,
         sample_cv, drift_halves, ordered_cost_sum, token_reduction, conservative_gates, verdicts, percent_agreement, label_crosstab, paired_raters, audit_order,
-        compaction_epochs, cache_cost, missing_slots, latest_wins, optional_key_join, lru_replay, stream_index, image_tokens, overview_sizes, crop_decisions,
+        compaction_epochs, cache_cost, missing_slots, latest_wins, optional_key_join, lru_replay, stream_index, graded_slots, question_keywords, slot_costs, paired_conditions, derived_arms, excerpt_replay, image_tokens, overview_sizes, crop_decisions,
         p5_found, p5_turns, p5_tool_calls, p5_excerpts, p5_originals,
     )
 }

@@ -215,6 +215,15 @@ SELECT user_id, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY
     "optional_key_join": f"""WITH {_TURNS}, r AS (SELECT session_id, condition_code, min(CASE WHEN record_id % 2 = 0 THEN attempt_id END) AS only_one FROM session_record GROUP BY ALL)
 SELECT t.condition_code, count(*) AS turns, count(DISTINCT t.attempt_id) AS attempts FROM turns t JOIN r ON t.session_id = r.session_id AND t.condition_code = r.condition_code AND (only_one IS NULL OR only_one = t.attempt_id) GROUP BY ALL""",
     "stream_index": rf"""SELECT doc_id, 'artifact_' || sha256(path || chr(0) || sha256(t))[1:16] AS artifact_id, len(regexp_extract_all(t, '[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+'))::INTEGER AS line_count, {_est("t")} AS tokens FROM (SELECT doc_id, path, coalesce(text, '') AS t FROM documents)""",
+    "graded_slots": f"""WITH {_TURNS}, e AS (SELECT attempt_id, turn, condition_code, regexp_replace({_norm("answer")}, 'region$', '') AS a, list_transform(coalesce(gold, []), lambda g: regexp_replace({_norm("g")}, 'region$', '')) AS gs FROM turns WHERE condition_code IS NOT NULL)
+SELECT condition_code, count(*) AS slots, count(*) FILTER (list_contains(gs, a)) AS strict, count(*) FILTER (len(list_filter(gs, lambda g: contains(a, g))) > 0) AS content FROM e GROUP BY condition_code""",
+    "question_keywords": f"WITH {_TURNS}, q AS (SELECT DISTINCT question FROM turns) SELECT question, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(question), '[^a-z0-9\\- ]', ' ', 'g'), ' +'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'what', 'which', 'please', 'with')))), ' ') AS keywords FROM q",
+    "slot_costs": f"WITH {_TURNS} SELECT attempt_id, turn, round(3 * ({_est("coalesce(question, '')")} * 2.5::DOUBLE + 600.0::DOUBLE) / 1e6, 9) AS cost FROM turns",
+    "paired_conditions": f"""WITH {_RUNS}, p AS (SELECT arm, family, avg(CASE WHEN outcome = 'success' THEN 1.0 ELSE 0.0 END)::DOUBLE AS s FROM runs GROUP BY ALL)
+SELECT a.family, round(a.s, 9) AS a, round(b.s, 9) AS b, round(a.s - b.s, 9) AS diff FROM p a JOIN p b ON a.family = b.family AND a.arm = 'S2' AND b.arm = 'S0'""",
+    "derived_arms": f"""WITH {_RUNS}, u AS (SELECT family, max((outcome = 'success')::INT) AS ok FROM runs WHERE arm = 'S0' GROUP BY family),
+x AS (SELECT arm, outcome FROM runs UNION ALL SELECT 'S2R', CASE WHEN outcome = 'ungraded' AND ok = 1 THEN 'success' ELSE outcome END FROM runs LEFT JOIN u USING (family) WHERE arm = 'S2')
+SELECT arm, outcome, count(*) AS runs FROM x GROUP BY ALL""",
     "image_tokens": """WITH s(x) AS (VALUES (64), (256), (512), (768), (1000), (1092), (1536), (2049), (4096)), g AS (SELECT a.x::BIGINT AS w, b.x::BIGINT AS h FROM s a, s b),
 f AS (SELECT w, h, floor(w * least(1.0::DOUBLE, 2048.0::DOUBLE / greatest(w, h))) AS fw, floor(h * least(1.0::DOUBLE, 2048.0::DOUBLE / greatest(w, h))) AS fh FROM g),
 k AS (SELECT *, CASE WHEN least(fw, fh) > 768 THEN 768.0::DOUBLE / least(fw, fh) ELSE 1.0::DOUBLE END AS z FROM f),

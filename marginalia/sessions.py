@@ -81,3 +81,35 @@ def latest_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     per = rows.groupBy(key).agg(F.max_by(rest, F.when(F.col("status") == "ok", F.col(order))).alias("good"), F.min_by(rest, order).alias("first"), F.count(F.when(F.col("status") == "ok", 1)).alias("_ok"))
     pick = F.when(F.col("_ok") > 0, F.col("good")).otherwise(F.col("first"))
     return per.select(key, pick.alias("r")).select(key, "r.*")
+
+
+def slot_answer(c: Column) -> Column:
+    """Normal answer of a graded slot: a trailing ``region`` goes too."""
+    return F.regexp_replace(normal_answer(c), r"region\z", "")
+
+
+def strict_match(answer: Column, gold: Column) -> Column:
+    a = slot_answer(answer)
+    return F.coalesce(F.exists(gold, lambda g: slot_answer(g) == a), F.lit(False))
+
+
+def content_match(answer: Column, gold: Column) -> Column:
+    a = slot_answer(answer)
+    return F.coalesce(F.exists(gold, lambda g: F.contains(a, slot_answer(g))), F.lit(False))
+
+
+def keywords(question: Column, stop_words: list[str]) -> Column:
+    """Distinct words of three characters or more that aren't stop words."""
+    words = F.split(F.regexp_replace(F.lower(question), "[^a-z0-9\\- ]", " "), " +")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(stop_words)))
+
+
+def fuzzy_hit(word: Column, words: Column) -> Column:
+    """Equal, or one a prefix of the other when both have four characters or more."""
+    long = lambda w: (F.length(w) >= 4) & (F.length(word) >= 4)
+    return F.exists(words, lambda w: (w == word) | long(w) & (w.startswith(word) | word.startswith(w)))
+
+
+def slot_cost(prompt_tokens: Column, max_tokens: int, rounds: int, price_in: float, price_out: float) -> Column:
+    """Upper bound of what a slot can cost."""
+    return rounds * (prompt_tokens * price_in + max_tokens * price_out) / 1e6

@@ -65,3 +65,32 @@ def gate_verdict(aa_ratio: Column, point: Column, upper: Column, valid: Column,
 
 def paired_verdict(lo: Column, hi: Column, fewer_tokens: Column, margin: float = 0.05) -> Column:
     return F.when(lo > 0, "superior").when(hi < 0, "inferior").when((lo > -margin) & fewer_tokens, "non_inferior").otherwise("undecided")
+
+
+def bootstrap_medians(blocks: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """``i, median`` of ``rounds`` resamples of whole blocks (``j`` from 0, ``ratios`` array)."""
+    spark = blocks.sparkSession
+    n = blocks.count()
+    if n == 0:
+        return spark.createDataFrame([], "i long, median double")
+    draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("i"), mulberry32(F.lit(seed).cast("long"), F.col("id") + 1).alias("u"))
+    picked = draws.select("i", F.floor(F.col("u") / F.lit(4294967296.0) * n).alias("j")).join(blocks.select("j", "ratios"), "j")
+    return picked.select("i", F.explode("ratios").alias("r")).groupBy("i").agg(F.median("r").alias("median"))
+
+
+def lcg(seed: int, count: int, a: int = 1664525, c: int = 1013904223) -> list[float]:
+    """``count`` numbers in [0, 1) of a 32-bit linear congruential generator, for small seeded orders on the driver."""
+    out, x = [], seed & 0xFFFFFFFF
+    for _ in range(count):
+        x = (a * x + c) & 0xFFFFFFFF
+        out.append(x / 4294967296)
+    return out
+
+
+def seeded_shuffle(items: list, seed: int) -> list:
+    """Fisher-Yates from the back with the generator above."""
+    out = list(items)
+    for i, u in zip(range(len(out) - 1, 0, -1), lcg(seed, max(0, len(out) - 1))):
+        j = int(u * (i + 1))
+        out[i], out[j] = out[j], out[i]
+    return out
