@@ -119,8 +119,10 @@ def certified_percentiles(samples: DataFrame, keys: list[str], qs: tuple[float,
     """``keys + n, q, value, rank_error``: digest estimates with their true rank error from a counting pass.
 
     ``rank_error`` is in percentage points: the distance from ``100 q`` to the span between the
-    percentage of values below the estimate and the percentage at or below it.
+    percentage of values below the estimate and the percentage at or below it.  Samples whose key is
+    null belong to no group.
     """
+    samples = samples.dropna(subset=keys)
     est = percentiles(build_digests(samples, keys, delta), keys, qs).select(*keys, "n", "q", "value")
     wide = est.groupBy(*keys).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("q", "value"))).alias("e"))
     # each estimate meets its group's values once per salt, so a hot group's count is spread too

@@ -78,6 +78,16 @@ def test_wrong_reports_against_brute_force(spark):
     assert want and sorted(r[0] for r in D.wrong_reports(rep, df, delta=20).collect()) == sorted(want)
 
 
+def test_null_days_form_no_group(spark):
+    from pyspark.sql import functions as F
+
+    df, _ = samples(spark, 300)
+    some = df.withColumn("measured_at", F.when(F.col("sample_id") % 2 == 0, F.col("measured_at")))
+    got = D.certified_percentiles(D.clean_samples(some), ["name", "day"])
+    n = D.clean_samples(some).where("day is not null").count()
+    assert got.where("q = 0.5").agg({"n": "sum"}).first()[0] == n and got.where("day is null").count() == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], S)
     assert D.certified_percentiles(D.clean_samples(df), ["name"]).count() == 0
