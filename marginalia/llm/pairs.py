@@ -6,7 +6,7 @@ DataFrame in Arrow batches.  Four devices, one for each way in which a pair brea
 * a *suffix automaton* of the prompt measures how much of the response is copied from it;
 * an *Aho-Corasick automaton* of refusal phrases finds responses that decline;
 * a *delimiter stack* finds quotes, brackets and code spans that are opened and never closed;
-* *stopword votes* decide in which language prompt and response are worded.
+* *script counts*, then *stopword votes*, decide in which language prompt and response are worded.
 
 Defined results: a null or blank question never makes a pair ``copied_question`` or
 ``other_language``; a null or empty ``gold`` leaves truncation to the text's own form; repeated
@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,7 +69,7 @@ UNREADABLE = re.compile(
     re.I,
 )
 
-# Frequent function words by language (Korean is told by its script).
+# Frequent function words by language (Korean and all that isn't written in Latin is told by its script).
 STOPWORDS = {
     "en": frozenset(
         "the a an of to in on at is are was were be been has have had that this it its and or but for with by from as "
@@ -95,6 +97,13 @@ _MARKS = {"de": re.compile(r"[äöüß]"), "es": re.compile(r"[ñáíóú¿¡]")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD], None)
 _WORD = re.compile(r"(?<![\w-])[^\W\d_]+(?:['’][^\W\d_]+)?(?![\w-])")
 _HANGUL = re.compile(r"[가-힣]")
+_LATIN = re.compile(r"[A-Za-zªºÀ-ʯḀ-ỿ]")
+# Letters that are neither Latin nor Hangul.
+_FOREIGN = re.compile(r"[^\W\d_A-Za-zªºÀ-ʯḀ-ỿᄀ-ᇿ\u3130-\u318f\ua960-\ua97f가-\ud7ff]")
+_KANA = ("HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA")
+# Scripts that write a word in about two letters, and those whose single letters are symbols of a formula.
+_DENSE = frozenset({"ja", "zh", "thai", "lao", "khmer", "myanmar", "tibetan", "yi"})
+_SYMBOLS = frozenset({"greek", "hebrew"})
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|「[^」\n]*」|«[^»\n]*»|`[^`\n]*`|'[^'\n]{2,}'(?!\w)")
 _END = tuple(".?!。？！")
 _ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…)\s*$")
@@ -208,10 +217,34 @@ def _words(text: str) -> list[str]:
     return re.findall(r"\w+(?:[.,:/'-]\w+)*", text.lower())
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(ch: str) -> str:
+    """The script of a letter, by its Unicode name."""
+    return unicodedata.name(ch, "UNKNOWN").split()[0]
+
+
+def _foreign(body: str, words: list[str]) -> str | None:
+    """``ja``, ``zh`` or the name of another script (``cyrillic``) that outweighs the Latin and Hangul words."""
+    letters = _FOREIGN.findall(body)
+    if not letters:
+        return None
+    count = Counter(map(_script, letters))
+    kana = sum(count.pop(k, 0) for k in _KANA)
+    han = count.pop("CJK", 0) + count.pop("IDEOGRAPHIC", 0)
+    sizes = {k.lower(): n for k, n in count.items()} | {"ja" if kana else "zh": kana + han}
+    weigh = lambda k, n: 2.5 * n if k in _DENSE else float(n)  # noqa: E731  a dense letter says as much as 2.5 Latin ones
+    name = max(sizes, key=lambda k: (weigh(k, sizes[k]), k))
+    rest = sum(len(_LATIN.findall(w)) + 2.5 * len(_HANGUL.findall(w)) for w in words)
+    least = 4 if name in _SYMBOLS else 2
+    return name if sizes[name] >= least and weigh(name, sizes[name]) > rest else None
+
+
 def language(text: str) -> str | None:
-    """``ko``, ``de`` or ``en`` by votes of the words outside of quotes; None for a bare value."""
+    """By script (``ja``, ``zh``, ``cyrillic``, ...; ``ko``), else by votes of the words outside of quotes; None for a bare value."""
     body = _QUOTED.sub(" ", text)
     words = [w.lower() for w in _WORD.findall(body)]
+    if foreign := _foreign(body, words):
+        return foreign
     if not words:
         return None
     hangul = sum(1 for w in words if _HANGUL.search(w))
@@ -335,6 +368,11 @@ def classify_pair(question: str | None, gold: list[str] | None, answer: str | No
                 return "copied_question"
         if not unreadable:
             asked, spoken = language(ask), language(text)
+            if spoken and spoken != "ko" and spoken not in STOPWORDS:
+                if any(_plain(g).lower() == lowered for g in refs) or spoken == "zh" and asked == "ja" and not _finished(text):
+                    spoken = None  # the datum as it stands in the source; names in kanji
+                elif not asked and _WORD.search(_QUOTED.sub(" ", ask)):
+                    asked = "latin"  # no votes, yet words of another script
             if asked and spoken and asked != spoken:
                 return "other_language"
     if not unreadable and _truncated(ask, refs, text):

@@ -36,3 +36,18 @@ def test_frame(spark):
     rows = [("a", 1, Q, ["x1"], None, 1, "z"), ("a", 1, Q, ["x1"], "x1", 2, "z"), ("b", 1, Q, None, "", 1, "z"), ("b", 1, Q, None, "", 1, "z"), ("c", 2, Q, ["x1"], "word " * 50_000 + "end.", 1, "z")]
     df = spark.createDataFrame(rows, "attempt_id string, turn int, question string, gold array<string>, answer string, received_at long, defect string")
     assert [tuple(r) for r in P.flag_defects(df).collect()] == [("b", 1, "empty")] and P.flag_defects(df.limit(0)).count() == 0
+
+
+KO = "배치 번호는 무엇입니까?"
+SCRIPTS = [
+    (Q, ["LOT-944022"], "写しがなかったので、お知らせは残されませんでした。", "other_language"), (KO, ["LOT-944022"], "バッチ番号はLOT-944022です。", "other_language"), (Q, ["LOT-944022"], "批号是LOT-944022。", "other_language"),
+    (Q, ["LOT-944022"], "Номер партии LOT-944022.", "other_language"), (Q, ["LOT-944022"], "رقم الدفعة هو LOT-944022.", "other_language"), (Q, ["LOT-944022"], "หมายเลขล็อตคือ LOT-944022.", "other_language"), (Q, ["LOT-944022"], "Ο αριθμός παρτίδας είναι LOT-944022.", "other_language"),
+    ("Batch id?", ["LOT-944022"], "バッチ番号はLOT-944022です。", "other_language"), ("バッチ番号は何ですか？", ["LOT-944022"], "The batch id is LOT-944022.", "other_language"), ("バッチ番号は何ですか？", ["LOT-944022"], "批号是一个四位数字。", "other_language"),
+    ("バッチ番号は何ですか？", ["LOT-944022"], "バッチ番号はLOT-944022です。", None), ("バッチ番号は何ですか？", ["LOT-944022"], "LOT-944022", None), ("書類の名前は何ですか？", None, "納品書", None),
+    (Q, ["納品書"], "納品書", None), (Q, ["LOT-944022"], "The label 納品書 reads LOT-944022 in the header.", None), (Q, ["5 μF"], "5 μF", None),
+]
+
+
+@pytest.mark.parametrize("question,gold,answer,want", SCRIPTS)
+def test_language_by_script(question, gold, answer, want):
+    assert P.classify_pair(question, gold, answer) == want
