@@ -158,6 +158,8 @@ _COMPILED = {r.name: re.compile(r.pattern) for r in RULES}
 _BY_NAME = {r.name: r for r in RULES}
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_SHORT = re.compile(r"^\s*(?:(?:#+|//+|--+|;+|\*+|>+)\s+)*[\"'`]?(?P<b>[+/=]*[A-Za-z0-9][A-Za-z0-9+/=]*)[\"'`]?\s*[+,;.\\)]*\s*$")
+_ESCAPED = re.compile(r"\\[rn]|(?P<s>(?:(?!\\[rn]).)+)")  # between line ends written as \n
 _JOIN = re.compile(r"^\s*(?:[#/;*-]{1,3}\s*)?(?:\+|\.)?\s*(?P<q>[\"'`])(?P<s>(?:(?!(?P=q)).)*)(?P=q)")
 
 
@@ -167,23 +169,51 @@ def split_lines(content: str) -> list[str]:
     return lines[:-1] if lines and lines[-1] == "" else lines
 
 
-def _continued(line: str, end: int, following: list[str]) -> list[tuple[int, int, int, str]]:
-    """Pieces of a string literal that goes on in the next lines: (line offset, start, end, text)."""
+def _continued(lines: list[str], i: int, end: int) -> list[tuple[int, int, int, str]]:
+    """All pieces of a string literal that goes on after line ``i``: (line index, start, end, text)."""
     out = []
-    at, rest = 0, line[end:]
-    while re.match(r"^\s*(?:\+|\\|\.)?\s*(?:(?://|#|--).*)?$", rest) and at < len(following):
+    at, rest = i + 1, lines[i][end:]
+    while re.match(r"^\s*(?:\+|\\|\.)?\s*(?:(?://|#|--).*)?$", rest) and at < len(lines):
         joined = bool(re.match(r"^\s*(?:\+|\\|\.)", rest))
-        m = _JOIN.match(following[at])
-        if not m or not joined and not (m.start("q") >= 0 and re.match(r"^\s*[\"'`]", following[at])):
+        m = _JOIN.match(lines[at])
+        if not m or not joined and not (m.start("q") >= 0 and re.match(r"^\s*[\"'`]", lines[at])):
             break
-        out.append((at + 1, m.start("s"), m.end("s"), m["s"]))
-        rest = following[at][m.end() :]
+        out.append((at, m.start("s"), m.end("s"), m["s"]))
+        rest = lines[at][m.end() :]
         at += 1
-        if at > 20:
-            break
     return out
 
 
+def _key_parts(text: str) -> list[tuple[int, int]]:
+    """Base64 in a line of a key's body, of whatever length where the line holds nothing else."""
+    out = []
+    for x in _ESCAPED.finditer(text):
+        if x["s"] is None:
+            continue
+        runs = list(_BODY.finditer(x[0]))
+        short = None if runs else _SHORT.match(x[0])
+        out += [(x.start() + a, x.start() + b) for a, b in ([r.span() for r in runs] or ([short.span("b")] if short else []))]
+    return out
+
+
+def _key_body(lines: list[str], i: int, begin: re.Pattern[str], body: bool) -> tuple[int, bool, bool]:
+    """The body after line ``i``: the line behind it, whether it is one, and whether that line has its END.
+
+    It goes to the END line or the end of the file; another key or a line of another form ends it too.
+    Without an END one short line after the last long one is its rest.
+    """
+    j, after = i + 1, i + 1
+    while j < len(lines) and not begin.search(lines[j]):
+        if _PEM_END.search(lines[j]):
+            return j, body or bool(_BODY.search(lines[j][: _PEM_END.search(lines[j]).start()])), True
+        if _BODY.search(lines[j]):
+            body, after = True, j + 1
+        elif body and len(lines[j].strip(" #/;*->\t")) > 0 and ":" not in lines[j] and not _key_parts(lines[j]):
+            break
+        j += 1
+    return after + (i + 1 < after < len(lines) and bool(_key_parts(lines[after]))), body, False
+
+
 def _columns(m: re.Match[str]) -> list[tuple[int, int]]:
     cols = [c.strip(" \"`[]") for c in m["cols"].split(",")]
     spans, base = [], m.start("vals")
@@ -195,12 +225,13 @@ def _columns(m: re.Match[str]) -> list[tuple[int, int]]:
     return spans
 
 
-def secret_spans(lines: list[str], rules: list[str] | None = None) -> list[tuple[int, int, int, str]]:
-    """(line index, start, end, rule) of every secret in a run of lines; parts of one secret share its first line's order."""
+def secret_spans(lines: list[str], rules: list[str] | None = None, start: int = 0, stop: int | None = None) -> list[tuple[int, int, int, str]]:
+    """(line index, start, end, rule) of every secret that begins in lines ``start`` to ``stop``; parts of one secret share its first line's order."""
     found: list[tuple[int, int, int, str, int]] = []
     wanted = [(n, _COMPILED[n], _BY_NAME[n].check) for n in (rules if rules is not None else _COMPILED)]
     skip = -1
-    for i, line in enumerate(lines):
+    for i in range(start, len(lines) if stop is None else min(stop, len(lines))):
+        line = lines[i]
         if i <= skip or len(line) < 8:
             continue
         taken: list[tuple[int, int]] = []
@@ -208,29 +239,22 @@ def secret_spans(lines: list[str], rules: list[str] | None = None) -> list[tuple
             if check == "pem":
                 for m in regex.finditer(line):
                     tail = line[m.end() :]
-                    stop = _PEM_END.search(tail)
-                    if stop:
-                        if _BODY.search(tail[: stop.start()]):
-                            found.append((i, m.end(), m.end() + stop.start(), name, i))
+                    closed = _PEM_END.search(tail)
+                    if closed:
+                        if _BODY.search(tail[: closed.start()]):
+                            found.append((i, m.end(), m.end() + closed.start(), name, i))
                         continue
-                    if _BODY.search(tail):
+                    long = bool(_BODY.search(tail))
+                    j, body, ended = _key_body(lines, i, regex, long)
+                    if long:
                         found.append((i, m.end(), len(line), name, i))
-                        continue
-                    j, body = i + 1, False
-                    while j < len(lines) and not _PEM_END.search(lines[j]):
-                        b = _BODY.search(lines[j])
-                        if b:
-                            body = True
-                        elif len(lines[j].strip(" #/;*->\t")) > 0 and ":" not in lines[j] and body:
-                            break
-                        j += 1
-                        if j - i > 4000:
-                            break
-                    if body:
-                        found.append((i, m.end(), m.end(), name, i))  # the frame stays, the body goes
-                        for k in range(i + 1, j):
-                            for b in _BODY.finditer(lines[k]):
-                                found.append((k, b.start(), b.end(), name, i))
+                    elif body:  # the frame stays, the body goes
+                        own = [] if tail[:1].isspace() else [(m.end() + x, m.end() + y) for x, y in _key_parts(tail)]
+                        found.extend((i, x, y, name, i) for x, y in own or [(m.end(), m.end())])
+                    if body and (ended or not long):
+                        for k in range(i + 1, j + ended):
+                            text = lines[k][: _PEM_END.search(lines[k]).start()] if k == j else lines[k]
+                            found.extend((k, x, y, name, i) for x, y in _key_parts(text))
                         skip = j - 1
                 continue
             for m in regex.finditer(line):
@@ -246,7 +270,7 @@ def secret_spans(lines: list[str], rules: list[str] | None = None) -> list[tuple
                     value = value.rstrip(")}]>.")
                     b = a + len(value)
                 if quoted and re.match(r"^\s*(?:\+|\\|\.)?\s*(?:(?://|#|--).*)?$", line[m.end() :]):
-                    parts = _continued(line, m.end(), lines[i + 1 : i + 24])
+                    parts = _continued(lines, i, m.end())
                 whole = value + "".join(p[3] for p in parts)
                 ok = {
                     "named": lambda: names_credential(m["name"]) and is_secret(whole),
@@ -259,7 +283,7 @@ def secret_spans(lines: list[str], rules: list[str] | None = None) -> list[tuple
                 if ok and not any(a < y and x < b for x, y in taken):
                     taken.append((a, b))
                     found.append((i, a, b, name, i))
-                    found.extend((i + d, x, y, name, i) for d, x, y, _ in parts)
+                    found.extend((k, x, y, name, i) for k, x, y, _ in parts)
     return [(k, a, b, f"{rule}@{first}") for k, a, b, rule, first in sorted(set(found))]
 
 
@@ -467,12 +491,11 @@ def _spans_of(content: str, at) -> list[tuple[int, int, int, str]]:
     covered: set[tuple[int, int]] = set()
     for x in sorted(at, key=lambda r: r["chunk"]):
         start = int(x["chunk"]) * CHUNK_LINES
-        # a secret may begin in the chunk's last line and go on: the following lines are at hand
-        for k, a, b, tag in secret_spans(lines[start:], list(x["rules"])) if "private_key" in x["rules"] else secret_spans(lines[start : start + CHUNK_LINES + 24], list(x["rules"])):
-            first = int(tag.rpartition("@")[2])
-            if first < CHUNK_LINES and (start + k, a) not in covered:
-                covered.add((start + k, a))
-                out.append((start + k, a, b, f"{tag.rpartition('@')[0]}@{start + first}"))
+        # a secret may begin in the chunk's last line and go on: all following lines are at hand
+        for k, a, b, tag in secret_spans(lines, list(x["rules"]), start, start + CHUNK_LINES):
+            if (k, a) not in covered:
+                covered.add((k, a))
+                out.append((k, a, b, tag))
     return out
 
 

@@ -70,3 +70,23 @@ def test_redaction_keeps_the_code(spark):
 def test_deliveries_and_empty_tables(spark):
     df = spark.createDataFrame([("a", "password: siq5h%E44VidH", 1), ("a", "clean", 2), (None, "password: siq5h%E44VidH", 1)], "artifact_id string, content string, indexed_at long")
     assert S.find_credentials(df).count() == 0 and S.find_credentials(df.limit(0)).count() == 0
+
+
+def masked(lines):
+    return S.mask_text("\n".join(lines), S.secret_spans(lines)).split("\n")
+
+
+def test_whole_key_bodies_are_masked():
+    long = [PEM[1]] * 4500
+    assert masked([PEM[0], *long, "Qm9/", PEM[3], "done"]) == [PEM[0], *["*" * len(PEM[1])] * 4500, "****", PEM[3], "done"]
+    assert masked([PEM[0] + "MIIE", PEM[1], "+a==" + PEM[3], "ok"]) == [PEM[0] + "****", "*" * len(PEM[1]), "****" + PEM[3], "ok"]
+    assert masked([PEM[0], PEM[1], "Qm9=", "x = 1"]) == [PEM[0], "*" * len(PEM[1]), "****", "x = 1"] and masked([PEM[0], *long]) == [PEM[0], *["*" * len(PEM[1])] * 4500]
+    quoted = ["k = (", f'  "{PEM[0]}\\n"', f'  "{PEM[1]}\\nQm9=\\n"', '  "Zz8=\\n"', f'  "{PEM[3]}\\n")', "f(k)"]
+    assert masked(quoted) == [*quoted[:2], f'  "{"*" * len(PEM[1])}\\n****\\n"', '  "****\\n"', *quoted[4:]]
+
+
+def test_literals_of_many_lines_are_masked(spark):
+    pieces = [f"  'q8#kd{k:03}' +" for k in range(60)]
+    text = "\n".join(["x = 1"] * 30 + ["const pwd = 'xNEMKUv' +", *pieces, "  'end#1';", "done"])
+    got = S.redact(frame(spark, {"a": text})).first()
+    assert "q8#" not in got["content"] and "end#" not in got["content"] and got["content"].endswith("\ndone") and got["n_secrets"] == 1
