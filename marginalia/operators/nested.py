@@ -16,6 +16,7 @@ whole.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
@@ -53,14 +54,10 @@ def parse(text: Any) -> Any:
 
 def _opened(x: Any) -> Any:
     """JSON inside of a string, read as many times as it was written."""
-    for _ in range(4):
-        if not (isinstance(x, str) and x.lstrip()[:1] in ("[", "{")):
-            return x
-        inner = parse(x)
-        if inner is None:
-            return x
-        x = inner
-    return x
+    inner = x
+    while isinstance(inner, str) and inner.lstrip()[:1] in ("[", "{", '"'):  # each layer of quotes is strictly shorter
+        inner = parse(inner)
+    return inner if isinstance(inner, (dict, list)) else x
 
 
 def _many(x: Any) -> list[Any]:
@@ -100,16 +97,17 @@ def shape(node: Any) -> str:
 
 
 def _session(node: Any) -> dict[str, Any] | None:
-    """The object that has the turns, inside of any envelopes."""
-    queue, seen = [_opened(node)], 0
-    while queue and seen < 64:
-        x = queue.pop(0)
-        seen += 1
-        if isinstance(x, dict):
-            if TURNS in x:
+    """The object that has the turns, inside of any envelopes; one with a mere count of turns only without another."""
+    queue, counts = deque([_opened(node)]), None
+    while queue:  # breadth first; the parsed body is finite, and so are the layers of its strings
+        x = queue.popleft()
+        if isinstance(x, dict) and TURNS in x:
+            if isinstance(_opened(x[TURNS]), (dict, list)):
                 return x
-            queue += [_opened(v) for v in x.values() if isinstance(v, (dict, str))]
-    return None
+            counts = counts or x
+        if isinstance(x, (dict, list)):
+            queue.extend(o for v in (x.values() if isinstance(x, dict) else x) if isinstance(o := _opened(v), (dict, list)))
+    return counts
 
 
 def _turns(session: dict[str, Any]) -> Iterator[tuple[int, dict[str, Any]]]:

@@ -56,3 +56,12 @@ def test_subtype_tables_keep_links(spark):
     c, e, o = nested.calls_table(n).first(), nested.excerpts_table(n).first(), nested.originals_table(n).first()
     assert (c["call_no"], c["shape"], json.loads(c["arguments"])) == (1, "call:excerpt_result", {"a": 1})
     assert (e["call_no"], e["text"], e["start_line"], e["complete_span"]) == (1, "a", 1, True) and (o["artifact_id"], o["width"]) == ("y", 5)
+
+
+def test_sessions_in_wide_listed_and_quoted_envelopes(spark):
+    s = {"turns": [{"turn": 1, "question": "q", "toolCalls": [call(1)]}]}
+    quoted = json.dumps(s)
+    for _ in range(7):
+        quoted = json.dumps(quoted)
+    bodies = [(1, {f"k{i}": "v" for i in range(500)} | {"run": s}), (2, [[], {"run": [s]}]), (3, quoted), (4, {"meta": [{"turns": 3}], "run": {"result": s}}), (5, {"run": {"log": quoted}}), (6, {"turns": 3})]
+    assert found(spark, bodies) == [(i, 1, "tool_call", 0, 1) for i in (1, 2, 3, 4, 5)]
