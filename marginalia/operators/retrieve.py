@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.evals.dataset import nfkc_lower
 from marginalia.functions.text import measures, tokens_from
 from marginalia.operators.textindex import split_lines
 
@@ -61,9 +62,9 @@ def check_arguments(max_excerpts: int, context_lines: int) -> None:
 
 
 def line_scores(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """``key, line, score`` of every line, JVM-side; for texts whose NFKC form is their own."""
+    """``key, line, score`` of every line, JVM-side; only lines with a character outside of ASCII are brought to NFKC, in Arrow batches."""
     terms = query_terms(query)
-    low = F.lower("text")
+    low = F.coalesce(nfkc_lower(F.when(F.col("text").rlike(r"[^\x00-\x7F]"), F.col("text"))), F.lower("text"))
     score = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
     return split_lines(docs, key, text).select(key, "line", "text", "delimiter", score.alias("score"))
 

@@ -91,3 +91,13 @@ def test_summaries(spark):
     assert got[7]["fallback_reason"] == "summary_span_exceeds_budget"
     zero = {r["k"]: r for r in summarize.prefix_summaries(df, "k", "t", 0).collect()}
     assert (zero[3]["summary"], zero[3]["kept_lines"], zero[3]["tokens"]) == ("", 1, 0)
+
+
+def test_line_scores_compare_in_nfkc(spark):
+    text = "ＰＡＣＫＩＮＧ list\nof\ufb01ce log\npacking 납품서\n\nPacking List"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    query = "packing list office"
+    got = {r["line"]: r["score"] for r in R.line_scores(df.where("text is not null"), "doc_id", "text", query).collect()}
+    terms = R.query_terms(query)
+    assert got == {i: sum(t in R.normalise(x) for t in terms) for i, x in enumerate(text.split("\n"), 1)} and got[1] == 2 and got[2] == 1
+    assert R.line_scores(df.limit(0), "doc_id", "text", query).count() == 0
