@@ -1,9 +1,9 @@
 """Deeply nested session records as related flat tables.
 
-Each JSON body is parsed once and read bottom-up by a small tree automaton: every object gets the
-state (its *shape*) that its keys and the states of its children lead to.  The shape decides into
-which typed table a node goes; all tables keep the common supertype keys (record, turn, kind) and
-the number of the node that holds them.  Reading order numbers the calls of a turn from 1 and the
+Each JSON body is parsed once.  A node goes to a typed table by the key it stands under (turns, calls,
+originals, excerpts, images, error, moreMatches); its *shape* is a label told from an object's own keys, or for
+a list from the labels of all its elements, and routes nothing but turns and excerpts that stand without a list.
+All tables keep the common supertype keys (record, turn, kind) and the number of the node that holds them.  Reading order numbers the calls of a turn from 1 and the
 excerpts of a call from 1 over all of its pages.
 
 Defined results: bodies that are null or no whole JSON text give no rows; repeated deliveries of a
@@ -34,7 +34,9 @@ NODE_SCHEMA = (
     "record_id long, turn int, kind string, parent_no int, item_no int, shape string, "
     "id string, name string, arguments string, error_code string, fallback_reason string, "
     "text string, path string, start_line int, end_line int, complete_span boolean, score double, "
-    "artifact_id string, width int, height int, reason string, question string, answer string"
+    "artifact_id string, width int, height int, reason string, question string, answer string, "
+    "gold string, summary string, auto_original string, threshold_exceeded string, compacted_after string, other string, "
+    "region string, details string, match_count int, match_lines string"
 )
 
 
@@ -68,8 +70,8 @@ def _many(x: Any) -> list[Any]:
     return [x] if isinstance(x, (dict, str)) and x else []
 
 
-# Transitions of the automaton.  A node is of a shape when it has one of the key sets.
-_TRANSITIONS: list[tuple[str, tuple[frozenset[str], ...]]] = [
+# A node is of a shape when it has one of the key sets.
+_SHAPES: list[tuple[str, tuple[frozenset[str], ...]]] = [
     ("envelope", (frozenset({"run"}),)),
     ("session", (frozenset({"turns"}),)),
     ("call", (frozenset({"function"}), frozenset({"id", "result"}), frozenset({"id", "error"}), frozenset({"followUps"}), frozenset({"id", "name"}), frozenset({"id", "arguments"}))),
@@ -83,15 +85,15 @@ _TRANSITIONS: list[tuple[str, tuple[frozenset[str], ...]]] = [
 
 
 def shape(node: Any) -> str:
-    """State of a node: its class of object, or the kind of scalar or list it is."""
+    """Label of a node: its class of object, or the kind of scalar or list it is."""
     if isinstance(node, dict):
         keys = node.keys()
-        for state, options in _TRANSITIONS:
+        for state, options in _SHAPES:
             if any(o <= keys for o in options):
                 return state
         return "object"
     if isinstance(node, list):
-        states = {shape(x) for x in node[:64]}
+        states = {shape(x) for x in node}
         return "list<" + (states.pop() if len(states) == 1 else "mixed" if states else "") + ">"
     return "null" if node is None else type(node).__name__
 
@@ -144,6 +146,18 @@ def _excerpts(result: Any) -> Iterator[Any]:
                 yield from _excerpts(page)
 
 
+def _results(result: Any) -> Iterator[dict[str, Any]]:
+    """The objects of a call's result, its pages included."""
+    result = _opened(result)
+    if isinstance(result, list):
+        for r in result:
+            yield from _results(r)
+    elif isinstance(result, dict) and shape(result) != "excerpt":
+        yield result
+        for page in _many(result.get("pages")):
+            yield from _results(page)
+
+
 def _int(x: Any) -> int | None:
     return x if isinstance(x, int) and not isinstance(x, bool) and abs(x) < 2**31 else None
 
@@ -155,13 +169,36 @@ def _text(x: Any) -> str | None:
     return s.encode("utf-8", "replace").decode("utf-8")
 
 
-def _rows(record_id: int, body: str | None) -> Iterator[dict[str, Any]]:
+def _variants(result: Any, error: Any) -> Iterator[dict[str, Any]]:
+    """Images, further matches and errors of a call."""
+    parts = list(_results(result))
+    images = [x for r in parts for x in map(_opened, _many(r.get("images"))) if isinstance(x, (dict, str)) and x]
+    for k, x in enumerate(images, 1):
+        yield {"kind": "image", "item_no": k} | ({"shape": shape(x), "artifact_id": _text(x.get("artifactId", x.get("artifact_id"))), "width": _int(x.get("width")), "height": _int(x.get("height")), "region": _text(_opened(x.get("region"))), "other": _rest(x, {"artifactId", "artifact_id", "width", "height", "region"})} if isinstance(x, dict) else {"shape": "id", "artifact_id": _text(x)})
+    for k, x in enumerate((x for r in parts if isinstance(x := _opened(r.get("moreMatches")), dict)), 1):
+        yield {"kind": "more_matches", "item_no": k, "shape": shape(x), "match_count": _int(x.get("count")), "match_lines": _text(_opened(x.get("lines"))), "other": _rest(x, {"count", "lines"})}
+    for k, x in enumerate((x for x in map(_opened, _many(error)) if x), 1):
+        own = isinstance(x, dict)
+        yield {"kind": "error", "item_no": k, "shape": shape(x), "error_code": _text(x.get("code") if own else x), "details": _text(_opened(x.get("details"))) if own else None, "other": _rest(x, {"code", "details"}) if own else None}
+
+
+_TURN_KEYS = {"turn", "type", "question", "answer", "gold", "summary", "autoOriginal", "thresholdExceeded", "compactedAfter", CALLS, ORIGINALS}
+
+
+def _rest(x: dict[str, Any], known: set[str]) -> str | None:
+    """Fields that have no column, as one JSON object."""
+    return _text({k: v for k, v in x.items() if k not in known} or None)
+
+
+def _rows(record_id: int, body: str | None, every: bool = False) -> Iterator[dict[str, Any]]:
     session = _session(parse(body))
     if session is None:
         return
     for turn, t in _turns(session):
         base = {"record_id": record_id, "turn": turn}
-        yield base | {"kind": "turn", "parent_no": 0, "item_no": turn, "shape": "turn", "name": _text(t.get("type")), "question": _text(t.get("question")), "answer": _text(t.get("answer"))}
+        yield base | {"kind": "turn", "parent_no": 0, "item_no": turn, "shape": "turn", "name": _text(t.get("type")), "question": _text(t.get("question")), "answer": _text(t.get("answer"))} | {
+            "gold": _text(t.get("gold")), "summary": _text(t.get("summary")), "auto_original": _text(t.get("autoOriginal")), "threshold_exceeded": _text(t.get("thresholdExceeded")), "compacted_after": _text(t.get("compactedAfter")), "other": _rest(t, _TURN_KEYS),
+        }
         no = 0
         stack = [(c, 0) for c in reversed(_many(t.get(CALLS)))]
         while stack:
@@ -192,6 +229,8 @@ def _rows(record_id: int, body: str | None) -> Iterator[dict[str, Any]]:
                 else:
                     row |= {"text": _text(x)}
                 yield row
+            if every:
+                yield from (base | {"parent_no": own} | x for x in _variants(result, error))
             stack += [(c, own) for c in reversed(_many(call.get(FOLLOW_UPS)))]
         for k, o in enumerate((x for x in map(_opened, _many(t.get(ORIGINALS))) if isinstance(x, (dict, str)) and x), 1):
             row = base | {"kind": "original", "parent_no": 0, "item_no": k, "shape": shape(o) if isinstance(o, dict) else "id"}
@@ -221,21 +260,22 @@ def whole_records(records: DataFrame) -> DataFrame:
     return whole.groupBy("record_id").agg(F.min_by("body", F.struct("at", "h")).alias("body"))
 
 
-def flatten(records: DataFrame) -> DataFrame:
-    """All nodes in one supertype table (see ``NODE_SCHEMA``); the subtype tables are projections of it."""
+def flatten(records: DataFrame, every: bool = False) -> DataFrame:
+    """Turns, calls, excerpts and originals, with ``every`` also images, further matches and errors, in one supertype
+    table (see ``NODE_SCHEMA``); the subtype tables are projections of it."""
 
     kinds = to_arrow_schema(StructType.fromDDL(NODE_SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for i, body in zip(b.column("record_id").to_pylist(), b.column("body").to_pylist()) for r in _rows(i, body)]
+            rows = [r for i, body in zip(b.column("record_id").to_pylist(), b.column("body").to_pylist()) for r in _rows(i, body, every)]
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     return whole_records(records).mapInArrow(run, NODE_SCHEMA)
 
 
 def turns_table(nodes: DataFrame) -> DataFrame:
-    return nodes.where("kind = 'turn'").select("record_id", "turn", F.col("name").alias("turn_type"), "question", "answer")
+    return nodes.where("kind = 'turn'").select("record_id", "turn", F.col("name").alias("turn_type"), "question", "answer", "gold", "summary", "auto_original", "threshold_exceeded", "compacted_after", "other")
 
 
 def calls_table(nodes: DataFrame) -> DataFrame:
@@ -248,3 +288,16 @@ def excerpts_table(nodes: DataFrame) -> DataFrame:
 
 def originals_table(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'original'").select("record_id", "turn", F.col("item_no").alias("original_no"), "shape", "artifact_id", "width", "height", "reason")
+
+
+def images_table(nodes: DataFrame) -> DataFrame:
+    """Of ``flatten(..., every=True)``, as the next two."""
+    return nodes.where("kind = 'image'").select("record_id", "turn", F.col("parent_no").alias("call_no"), F.col("item_no").alias("image_no"), "shape", "artifact_id", "width", "height", "region", "other")
+
+
+def more_matches_table(nodes: DataFrame) -> DataFrame:
+    return nodes.where("kind = 'more_matches'").select("record_id", "turn", F.col("parent_no").alias("call_no"), F.col("item_no").alias("result_no"), "match_count", "match_lines", "other")
+
+
+def errors_table(nodes: DataFrame) -> DataFrame:
+    return nodes.where("kind = 'error'").select("record_id", "turn", F.col("parent_no").alias("call_no"), F.col("item_no").alias("error_no"), "shape", "error_code", "details", "other")

@@ -488,6 +488,18 @@ def p5_originals(spark, d):
     return nested.originals_table(nested.flatten(table(spark, d, "session_record")))
 
 
+def p5_images(spark, d):
+    return nested.images_table(nested.flatten(table(spark, d, "session_record"), every=True))
+
+
+def p5_more_matches(spark, d):
+    return nested.more_matches_table(nested.flatten(table(spark, d, "session_record"), every=True))
+
+
+def p5_errors(spark, d):
+    return nested.errors_table(nested.flatten(table(spark, d, "session_record"), every=True))
+
+
 _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -497,7 +509,7 @@ _QUERIES: dict[str, Query] = {
         grouping_sets, turn_groups, two_level_mean, dataset_issues, pilot_quota, model_inputs, seeded_schedule, mock_run, exact_check, latency_nearest_rank, type7_quantiles,
         sample_cv, drift_halves, ordered_cost_sum, token_reduction, conservative_gates, verdicts, percent_agreement, label_crosstab, paired_raters, audit_order,
         compaction_epochs, cache_cost, missing_slots, latest_wins, optional_key_join, lru_replay, stream_index, graded_slots, question_keywords, slot_costs, paired_conditions, derived_arms, excerpt_replay, image_tokens, overview_sizes, crop_decisions,
-        p5_found, p5_turns, p5_tool_calls, p5_excerpts, p5_originals,
+        p5_found, p5_turns, p5_tool_calls, p5_excerpts, p5_originals, p5_images, p5_more_matches, p5_errors,
     )
 }
 

@@ -65,3 +65,14 @@ def test_sessions_in_wide_listed_and_quoted_envelopes(spark):
         quoted = json.dumps(quoted)
     bodies = [(1, {f"k{i}": "v" for i in range(500)} | {"run": s}), (2, [[], {"run": [s]}]), (3, quoted), (4, {"meta": [{"turns": 3}], "run": {"result": s}}), (5, {"run": {"log": quoted}}), (6, {"turns": 3})]
     assert found(spark, bodies) == [(i, 1, "tool_call", 0, 1) for i in (1, 2, 3, 4, 5)]
+
+
+def test_turn_fields_and_variants_are_kept(spark):
+    t = {"turn": 1, "question": "q", "gold": ["g"], "summary": "s", "autoOriginal": True, "thresholdExceeded": False, "compactedAfter": 3, "note": 5}
+    calls = [call(1, {"images": [{"width": 9, "height": 8, "region": {"x": 0}}, {"width": 7, "height": 6}]}), call(2, {"pages": [{"moreMatches": {"count": 3, "lines": [5, 2]}}]}), call(3, error={"code": "denied", "details": [{"message": "m"}]}), call(4, [ex("a")] * 80 + [{"pages": []}])]
+    df = spark.createDataFrame([(1, json.dumps({"turns": [t | {"toolCalls": calls}]}))], "record_id long, body string")
+    n = nested.flatten(df, every=True)
+    assert nested.turns_table(n).first()[4:] == (None, '["g"]', "s", "true", "false", "3", '{"note": 5}')
+    assert [r[2:] for r in nested.images_table(n).orderBy("image_no").collect()] == [(1, 1, "object", None, 9, 8, '{"x": 0}', None), (1, 2, "object", None, 7, 6, None, None)]
+    assert nested.more_matches_table(n).first()[2:] == (2, 1, 3, "[5, 2]", None) and nested.errors_table(n).first()[2:] == (3, 1, "object", "denied", '[{"message": "m"}]', None)
+    assert [r["shape"] for r in nested.calls_table(n).where("call_no = 4").collect()] == ["call:list<mixed>"] and nested.flatten(df).where("kind in ('image', 'error', 'more_matches')").count() == 0
