@@ -457,6 +457,22 @@ def overview_sizes(spark, d):
     return _grid(spark).select("w", "h", o["width"].alias("ow"), o["height"].alias("oh"))
 
 
+def _recorded_sizes(spark, d):
+    """Distinct sizes of requested originals and image results."""
+    n = nested.flatten(table(spark, d, "session_record"), every=True).where("kind in ('original', 'image') and width > 0 and height > 0")
+    return n.select(F.col("width").cast("long").alias("w"), F.col("height").cast("long").alias("h")).distinct()
+
+
+def image_tokens_recorded(spark, d):
+    """As image_tokens, whose SQL fixes its grid, over all recorded sizes."""
+    return _recorded_sizes(spark, d).select("w", "h", images.tile_tokens(F.col("w"), F.col("h")).alias("tiles"), images.patch_tokens(F.col("w"), F.col("h")).alias("patches"))
+
+
+def overview_sizes_recorded(spark, d):
+    o = images.overview_size(F.col("w"), F.col("h"))
+    return _recorded_sizes(spark, d).select("w", "h", o["width"].alias("ow"), o["height"].alias("oh"))
+
+
 def crop_decisions(spark, d):
     c = nested.originals_table(nested.flatten(table(spark, d, "session_record"))).where("width is not null and height is not null")
     w, h = F.col("width").cast("long"), F.col("height").cast("long")
@@ -508,7 +524,7 @@ _QUERIES: dict[str, Query] = {
         summary_prefix, gated_summary, policy_reasons, policy_mode, policy_artifacts, content_match, outcome_class, arm_report, paired_diff, point_estimate, bootstrap_ci,
         grouping_sets, turn_groups, two_level_mean, dataset_issues, pilot_quota, model_inputs, seeded_schedule, mock_run, exact_check, latency_nearest_rank, type7_quantiles,
         sample_cv, drift_halves, ordered_cost_sum, token_reduction, conservative_gates, verdicts, percent_agreement, label_crosstab, paired_raters, audit_order,
-        compaction_epochs, cache_cost, missing_slots, latest_wins, optional_key_join, lru_replay, stream_index, graded_slots, question_keywords, slot_costs, paired_conditions, derived_arms, excerpt_replay, image_tokens, overview_sizes, crop_decisions,
+        compaction_epochs, cache_cost, missing_slots, latest_wins, optional_key_join, lru_replay, stream_index, graded_slots, question_keywords, slot_costs, paired_conditions, derived_arms, excerpt_replay, image_tokens, overview_sizes, image_tokens_recorded, overview_sizes_recorded, crop_decisions,
         p5_found, p5_turns, p5_tool_calls, p5_excerpts, p5_originals, p5_images, p5_more_matches, p5_errors,
     )
 }

@@ -106,3 +106,16 @@ def test_stream_ingest(spark, tmp_path):
         ingest.ingest(spark, str(src), "doc_id long, path string, text string", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r["doc_id"]: (r["mode"], r["line_count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: ("exact", 1), 2: ("unknown", 0)}
+
+
+def test_recorded_image_sizes(spark, tmp_path):
+    import json
+
+    from marginalia.plans import catalogue
+
+    turn = {"turn": 1, "question": "q", "toolCalls": [{"id": "c", "result": {"images": [{"width": 256, "height": 256}, {"width": 1536, "height": 864}]}}], "originalsRequested": [{"artifactId": "a", "width": 512, "height": 384}, {"artifactId": "b", "width": 256, "height": 256}, {"artifactId": "c", "width": 0, "height": 5}]}
+    spark.createDataFrame([(1, json.dumps({"turns": [turn]}), 1)], "record_id long, body string, received_at long").write.parquet(str(tmp_path / "session_record.parquet"))
+    q = catalogue.queries()
+    tokens = {(r["w"], r["h"]): r["tiles"] for r in q["image_tokens_recorded"](spark, str(tmp_path)).collect()}
+    assert set(tokens) == {(256, 256), (1536, 864), (512, 384)} and tokens[256, 256] == 255 and tokens[1536, 864] == 1105
+    assert {(r["w"], r["h"]) for r in q["overview_sizes_recorded"](spark, str(tmp_path)).collect()} == set(tokens)
