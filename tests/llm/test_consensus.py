@@ -72,3 +72,18 @@ def test_alpha_against_brute_force(spark):
     do = sum(sum(a != b for x, a in enumerate(u) for y, b in enumerate(u) if x != y) / (len(u) - 1) for u in units) / len(flat)
     de = sum(a != b for x, a in enumerate(flat) for y, b in enumerate(flat) if x != y) / (len(flat) * (len(flat) - 1))
     assert got["alpha"] == pytest.approx(1 - do / de, abs=1e-5) and got["n_values"] == len(flat)
+
+
+def test_joined_rounds_equal_blocks(spark):
+    rnd = random.Random(8)
+    say = lambda kind: rnd.choice([*C.CODEBOOK[kind], None, "see note"])
+    kinds = {i: rnd.choice(["response", "response", "summary", "odd", None]) for i in range(150)}
+    verify = [(i, k, say(k or "summary") if k != "odd" else "correct", "correct", "correct", i % 2) for i, k in kinds.items()]
+    rating = [(n, n % 150, f"r{rnd.randrange(9)}", say(kinds[n % 150] if kinds[n % 150] in C.CODEBOOK else "response"), n) for n in range(600)]
+    v, r = frames(spark, verify, rating)
+    near = lambda rows: sorted((x["item_id"], x["kind"] or "", x["label"] or "", round(x["confidence"] or 0, 4), x["n_votes"], round(x["agreement"] or 0, 6)) for x in rows)
+    assert near(C.consensus(v, r).collect()) == near(C.consensus(v, r, max_annotators=3).collect())
+    many = {(x["kind"], x["annotator"]): (x["n_votes"], pytest.approx(x["accuracy"], abs=1e-5)) for x in C.annotators(v, r, max_annotators=3).collect()}
+    assert {(x["kind"], x["annotator"]): (x["n_votes"], x["accuracy"]) for x in C.annotators(v, r).collect()} == many
+    with pytest.warns(UserWarning, match="after 1 rounds"):
+        C.consensus(v, r, max_rounds=1)
