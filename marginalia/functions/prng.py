@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +23,12 @@ def mulberry32(seed: Column, draw: Column) -> Column:
     t = mul32(a.bitwiseXOR(F.shiftrightunsigned(a, 15)), a.bitwiseOR(F.lit(1)))
     t = t.bitwiseXOR((t + mul32(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)))
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14))
+
+
+def mulberry32_block(seed: int, count: int) -> np.ndarray:
+    """Draws 1 to ``count`` of the generator."""
+    mask, u = np.uint64(MASK), np.uint64
+    a = (u(seed & MASK) + np.arange(1, count + 1, dtype=np.uint64) * u(STEP)) & mask
+    t = (a ^ (a >> u(15))) * (a | u(1)) & mask
+    t ^= (t + ((t ^ (t >> u(7))) * (t | u(61)) & mask)) & mask
+    return t ^ (t >> u(14))

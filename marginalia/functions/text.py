@@ -49,6 +49,23 @@ def estimate_tokens(c: Column) -> Column:
     return F.get(F.transform(m, lambda x: tokens_of(x["u"], x["k"], x["w"])), F.lit(0))
 
 
+# Spellings of the languages of texts.
+LANGUAGES = {"en": ("en", "eng"), "ko": ("ko", "kor"), "de": ("de", "ger", "deu")}
+
+
+def language_code(c: Column) -> Column:
+    """The language's code whatever its spelling; ``other`` for a missing or unknown one."""
+    out = F.lit("other")
+    for code, spellings in LANGUAGES.items():
+        out = F.when(F.lower(F.trim(c)).isin(*spellings), code).otherwise(out)
+    return out
+
+
+def plain_label(c: Column) -> Column:
+    """A label without differences of case, blanks, hyphens and trailing stops."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[.\s]+\z", ""), r"[\s_-]+", "_")
+
+
 def fits_budget(estimate: Column, budget: Column) -> Column:
     """A missing budget fits everything."""
     return F.coalesce(estimate <= budget, F.lit(True))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from marginalia import sessions
 from marginalia.evals import dataset, ledger, schedule
-from marginalia.functions.text import WS_JAVA, estimate_tokens, fits_budget
+from marginalia.functions.text import WS_JAVA, estimate_tokens, fits_budget, language_code, plain_label
 from marginalia.operators import images, intervals, nested, policy, retrieve, store, summarize, textindex
 from marginalia.runtime import ship, spread, table
 from marginalia.stats import robust
@@ -21,7 +21,8 @@ QUESTION = "packing list retrieval log"
 BUDGET = 120
 ARMS = ["fixed_chunk", "full_source", "gold_reference", "optimized"]
 ALGORITHM, SEED = "sha256-rank-v1", "0" * 64
-ROUNDS, BOOT_SEED = 2000, 7
+ROUNDS, BOOT_SEED = 10_000, 7
+CONDITIONS = ["S0", "S1", "S2", "S3", "S4", "S9"]
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +46,8 @@ def budget_fit(spark, d):
 
 
 def token_by_lang(spark, d):
-    return docs(spark, d).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(estimate_tokens(F.col("text"))).alias("tokens"))
+    """By language; its spellings count as one, and a missing or unknown one as ``other``."""
+    return docs(spark, d).groupBy(language_code(F.col("lang")).alias("lang")).agg(F.count("*").alias("documents"), F.sum(estimate_tokens(F.col("text"))).alias("tokens"))
 
 
 def line_index(spark, d):
@@ -154,7 +156,7 @@ def summary_prefix(spark, d):
 
 def gated_summary(spark, d):
     t = docs(spark, d)
-    return summarize.gated_summaries(t, policy.classify(t, "doc_id", "text"), "doc_id", "text", BUDGET)
+    return summarize.gated_summaries(t, "doc_id", "text", BUDGET)
 
 
 # ---------------------------------------------------------------- policy
@@ -202,25 +204,55 @@ def outcome_class(spark, d):
     return _runs(spark, d).groupBy("arm", "outcome").agg(F.count("*").alias("runs"))
 
 
+def _ledger(spark, d):
+    """``_runs`` as a ledger of planned runs: a family's turns by parity (two languages) and pair (three attempts).
+
+    A planned run succeeds when at least half of its graded turns do, and is ungraded when no turn is graded.
+    """
+    r = _runs(spark, d).where("turn between 1 and 9")
+    half = F.when(F.col("turn") % 2 == 0, "ko").otherwise("en")
+    won, graded = (F.count(F.when(c, 1)) for c in (F.col("outcome") == "success", F.col("outcome") != "ungraded"))
+    outcome = F.when(graded == 0, "ungraded").when(won * 2 >= graded, "success").otherwise("failure")
+    return r.groupBy("arm", "family", half.alias("language"), (F.floor((F.col("turn") - 1) / 2) % 3 + 1).alias("attempt")).agg(outcome.alias("outcome"), F.sum("cost").alias("cost"), F.max("latency").alias("latency"))
+
+
+def _plan(spark, d):
+    f = _runs(spark, d).select("family").distinct()
+    return f.withColumn("language", F.explode(F.array(F.lit("en"), F.lit("ko")))).select("family", F.concat_ws("-", "family", "language").alias("task"), "language", F.lit("factual").alias("category"))
+
+
 def arm_report(spark, d):
-    runs = _runs(spark, d)
-    arms = spark.createDataFrame([(a,) for a in ("S0", "S1", "S2", "S3", "S4", "S9")], "arm string")
-    r = ledger.arm_report(runs, arms, F.max("submitted").over(Window.partitionBy(F.lit(1))))
-    return r.select("arm", "planned", "submitted", "missing", "ungraded", "successes", "failures", "complete", F.round("success_rate", 9).alias("success_rate"), "total_cost", "latency_n", "median_latency", "p95_latency")
+    """Reports of the planned runs of all arms; some arms are complete, some lack runs and one has none."""
+    plan = _plan(spark, d)
+    r = ledger.arm_report(_ledger(spark, d), spark.createDataFrame([(a,) for a in CONDITIONS], "arm string"), plan.count() * 3)
+    return r.select(*[c for c in r.columns if c not in ("success_rate", "cost_per_success")], F.round("success_rate", 9).alias("success_rate"), F.round("cost_per_success", 9).alias("cost_per_success"))
+
+
+def paired_coverage(spark, d):
+    return ledger.coverage(_ledger(spark, d), CONDITIONS, _plan(spark, d).count() * 3)
+
+
+def _paired(spark, d, arms=("S1", "S2")):
+    return ledger.paired_success(_ledger(spark, d).where(F.col("arm").isin(*arms)), _plan(spark, d), list(arms), "S1", "S2")
 
 
 def paired_diff(spark, d):
-    return ledger.paired_success(_runs(spark, d), "S0", "S2", 6).select("family", "reference_successes", "comparison_successes", F.round("difference", 9).alias("difference"))
+    f = _paired(spark, d)
+    return f.select("family", "category", "reference_successes", "comparison_successes", *[F.round(c, 9).alias(c) for c in ("reference_rate", "comparison_rate", "difference")])
+
+
+def paired_incomplete(spark, d):
+    """The same over a plan with an arm that never ran: nothing is known, so there are no rows."""
+    return _paired(spark, d, ("S1", "S2", "S9")).select("family", "difference")
 
 
 def point_estimate(spark, d):
-    return ledger.point_estimate(paired_diff(spark, d)).select("families", F.round("point_estimate", 9).alias("point_estimate"))
+    return ledger.point_estimate(_paired(spark, d)).select("families", F.round("point_estimate", 9).alias("point_estimate"))
 
 
 def bootstrap_ci(spark, d):
-    f = ledger.paired_success(_runs(spark, d), "S0", "S2", 6)
-    diffs = f.select((F.row_number().over(Window.orderBy("family")) - 1).cast("long").alias("j"), F.col("difference").alias("d"))  # families are a fixed few
-    ci = robust.interval(robust.bootstrap_means(diffs, ROUNDS, BOOT_SEED), ROUNDS)
+    diffs = _paired(spark, d).agg(F.sort_array(F.collect_list(F.struct("family", "difference"))).alias("x")).select(F.posexplode("x").alias("j", "x"))  # at most ledger.MAX_RUNS / 6 families
+    ci = robust.interval(robust.bootstrap_means(diffs.select(F.col("j").cast("long").alias("j"), F.col("x.difference").alias("d")), ROUNDS, BOOT_SEED), ROUNDS)
     return ci.select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
@@ -250,9 +282,9 @@ def dataset_issues(spark, d):
 
 
 def pilot_quota(spark, d):
-    f = docs(spark, d).where("lang in ('en', 'ko', 'de')").groupBy("family_id").agg(F.min_by("lang", "doc_id").alias("category"), (F.min("doc_id") % 3).alias("split"))
+    f = docs(spark, d).where("family_id is not null").groupBy("family_id").agg(F.min_by(language_code(F.col("lang")), "doc_id").alias("category"), (F.min("doc_id") % 3).alias("split"))
     actual = f.groupBy("category", "split").agg(F.count("*").alias("actual"))
-    cells = [(c, s, 20) for c in ("en", "ko", "de", "fr") for s in range(3)]
+    cells = [(c, s, 20) for c in ("en", "ko", "de", "fr", "other") for s in range(3)]
     return dataset.quota_issues(actual, spark.createDataFrame(cells, "category string, split long, expected long"), ["category", "split"])
 
 
@@ -294,16 +326,20 @@ def exact_check(spark, d):
 
 
 def _latency(spark, d):
-    return table(spark, d, "run_sample").where("latency_ms >= 0 and not isnan(latency_ms)").select(F.lower(F.trim("name")).alias("name"), "sample_id", "latency_ms", "raw_tokens", "optimized_tokens", "passed_exact_gate")
+    return table(spark, d, "run_sample").where("latency_ms >= 0 and not isnan(latency_ms)").select(F.lower(F.trim("name")).alias("name"), "sample_id", "series_id", "latency_ms", "raw_tokens", "optimized_tokens", "passed_exact_gate")
+
+
+def _ranked(spark, d):
+    return robust.ranked(_latency(spark, d).select("name", "latency_ms", "sample_id"), ["name"], ["latency_ms", "sample_id"])
 
 
 def latency_nearest_rank(spark, d):
-    return _latency(spark, d).groupBy("name").agg(F.count("*").alias("n"), robust.nearest_rank("latency_ms", 0.5).alias("p50"), robust.nearest_rank("latency_ms", 0.95).alias("p95"))
+    return robust.order_statistics(_ranked(spark, d), ["name"], "latency_ms", {"p50": 0.5, "p95": 0.95})
 
 
 def type7_quantiles(spark, d):
-    q = [F.round(robust.type7("latency_ms", p), 6).alias(f"q{int(p * 1000)}") for p in (0.025, 0.5, 0.975)]
-    return _latency(spark, d).groupBy("name").agg(*q)
+    q = robust.order_statistics(_ranked(spark, d), ["name"], "latency_ms", cont={"q25": 0.025, "q500": 0.5, "q975": 0.975})
+    return q.select("name", *[F.round(c, 6).alias(c) for c in ("q25", "q500", "q975")])
 
 
 def sample_cv(spark, d):
@@ -311,7 +347,8 @@ def sample_cv(spark, d):
 
 
 def drift_halves(spark, d):
-    return robust.drift(_latency(spark, d).withColumn("pos", F.col("sample_id")), ["name"], "pos", "latency_ms").select("name", *[F.round(c, 6).alias(c) for c in ("early", "late", "ratio")])
+    us = _latency(spark, d).select("name", "sample_id", F.floor(F.col("latency_ms") * 1000).alias("us"))  # whole, so that sums are exact
+    return robust.drift(us, ["name"], ["sample_id", "us"], "us").select("name", *[F.round(c, 6).alias(c) for c in ("early", "late", "ratio")])
 
 
 def ordered_cost_sum(spark, d):
@@ -326,30 +363,57 @@ def token_reduction(spark, d):
 
 
 def conservative_gates(spark, d):
-    s = _latency(spark, d).groupBy("name").agg(F.min("raw_tokens").alias("min_raw"), F.max("optimized_tokens").alias("max_optimized"), F.bool_and("passed_exact_gate").alias("all_passed"), F.bool_or("passed_exact_gate").alias("any_passed"), robust.nearest_rank("latency_ms", 0.95).alias("p95"))
-    return s.withColumn("fails", (F.col("p95") > 1000) | ~F.coalesce("all_passed", F.lit(False)))
+    """The least reduction, every gate, the largest p95 and the distinct warnings of a scenario's series."""
+    s = _latency(spark, d)
+    series = s.groupBy("name", "series_id").agg(F.sum("raw_tokens").alias("raw"), F.sum("optimized_tokens").alias("optimized"), F.bool_and("passed_exact_gate").alias("passed"))
+    reduction = F.when(F.col("raw") == 0, F.lit(0.0)).otherwise(F.floor((1 - F.col("optimized") / F.col("raw")) * 1000 + 0.5) / 10)
+    warning = F.when(F.col("passed").isNull(), "no_gate").when(~F.col("passed"), "gate_failed").when(reduction < 25, "small_reduction")
+    g = series.groupBy("name").agg(
+        F.count("*").alias("series"), F.min(reduction).alias("min_reduction"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("all_passed"), F.bool_or("passed").alias("any_passed"),
+        F.array_join(F.sort_array(F.collect_set(warning)), ",").alias("warnings"),
+    )
+    p = latency_nearest_rank(spark, d).select("name", "p95")
+    return g.join(p, "name").withColumn("fails", (F.col("p95") > 1000) | ~F.col("all_passed") | (F.col("min_reduction") < 25))
 
 
 def verdicts(spark, d):
-    s = _latency(spark, d).groupBy("name").agg(F.avg(F.when(F.col("sample_id") % 3 == 0, F.col("latency_ms"))).alias("a"), F.avg(F.when(F.col("sample_id") % 3 == 1, F.col("latency_ms"))).alias("a2"), F.avg(F.when(F.col("sample_id") % 3 == 2, F.col("latency_ms"))).alias("b"), F.count("*").alias("n"))
-    point = F.col("b") / F.col("a")
-    return s.select("name", robust.gate_verdict(F.col("a2") / F.col("a"), point, point * 1.02, F.col("n") >= 100, noise=0.25, gate=1.1).alias("verdict"))
+    """Timing of a change against two runs of the base: 36 rounds in 6 blocks for each scenario.
+
+    A scenario's samples are dealt to the three variants and the rounds by id; a round's time is their mean.
+    """
+    s = _latency(spark, d).select("name", (F.col("sample_id") % 3).alias("v"), (F.floor(F.col("sample_id") / 3) % 36).cast("int").alias("r"), F.floor(F.col("latency_ms") * 1000).cast("long").alias("us"))
+    mean = lambda v: F.try_divide(F.sum(F.when(F.col("v") == v, F.col("us"))).cast("double"), F.count(F.when(F.col("v") == v, 1)))
+    cell = s.groupBy("name", "r").agg(mean(0).alias("a"), mean(1).alias("a2"), mean(2).alias("b"))
+    good = cell.where("a > 0 and a2 > 0 and b > 0")
+    per = good.groupBy("name").agg(F.count("*").alias("rounds"), F.sort_array(F.collect_list(F.struct("r", (F.col("b") / ((F.col("a") + F.col("a2")) / 2)).alias("x"), (F.col("a2") / F.col("a")).alias("y")))).alias("z"))
+    whole = per.where("rounds = 36")
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.transform(F.slice("z", i * 6 + 1, 6), lambda z: z["x"]))
+    ci = robust.block_bootstrap(whole.select("name", blocks.alias("blocks")), "name", "blocks", ROUNDS, BOOT_SEED)
+    aa = per.select("name", "rounds", robust.median(F.transform("z", lambda z: z["y"])).alias("aa"))
+    every = s.select("name").distinct().join(aa, "name", "left").join(ci, "name", "left")
+    # the tables' samples are heavy-tailed, so the bands are wider than a timing run's
+    verdict = robust.gate_verdict(F.col("aa"), F.col("point"), F.col("hi"), F.coalesce(F.col("rounds") == 36, F.lit(False)), noise=0.25, gate=1.1)
+    return every.select("name", F.coalesce("rounds", F.lit(0)).alias("rounds"), *[F.round(c, 9).alias(c) for c in ("aa", "point", "lo", "hi")], verdict.alias("verdict"))
+
+
+def _labels(spark, d):
+    v = table(spark, d, "verify").distinct()
+    return v.select("item_id", "kind", *[plain_label(F.col(c)).alias(c) for c in ("claude_label", "openai_label", "final_label")])
 
 
 def percent_agreement(spark, d):
-    v = table(spark, d, "verify").distinct().where("claude_label is not null and openai_label is not null")
+    v = _labels(spark, d).where("claude_label is not null and openai_label is not null")
     return v.groupBy("kind").agg(F.count("*").alias("items"), F.round(F.avg((F.col("claude_label") == F.col("openai_label")).cast("double")), 9).alias("agreement"))
 
 
 def label_crosstab(spark, d):
-    return table(spark, d, "verify").distinct().groupBy("claude_label", "openai_label").agg(F.count("*").alias("items"))
+    return _labels(spark, d).groupBy("claude_label", "openai_label").agg(F.count("*").alias("items"))
 
 
 def paired_raters(spark, d):
     """The adjudicated label where two first labels differ, else the common one."""
-    v = table(spark, d, "verify").distinct()
     label = F.when(F.col("claude_label") == F.col("openai_label"), F.col("claude_label")).otherwise(F.col("final_label"))
-    return v.select("item_id", "claude_label", "openai_label", label.alias("settled")).where("claude_label is not null and openai_label is not null")
+    return _labels(spark, d).select("item_id", "claude_label", "openai_label", label.alias("settled")).where("claude_label is not null and openai_label is not null")
 
 
 def audit_order(spark, d):
@@ -423,21 +487,42 @@ def paired_conditions(spark, d):
     return a.join(b, "family").select("family", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"), F.round(F.col("a") - F.col("b"), 9).alias("diff"))
 
 
+def _graded(spark, d):
+    t = turns(spark, d).where("condition_code is not null")
+    return t.select(
+        F.col("condition_code").alias("arm"), F.concat_ws("/", "attempt_id", F.lpad(F.col("turn").cast("string"), 6, "0")).alias("key"), F.col("template").alias("family"), "question", sessions.turn_group(F.col("turn_type")).alias("condition"),
+        (F.coalesce("tool_calls", F.lit(0)) > 0).alias("matched"), F.when(F.col("answer").isNull(), "failed").otherwise("answered").alias("outcome"), "answer", sessions.matches_gold(F.col("answer"), F.col("gold")).alias("correct"),
+        estimate_tokens(F.concat_ws(" ", "question", "answer")).cast("long").alias("tokens"), (F.coalesce("originals_requested", F.lit(0)) * 0.5 + 0.25).alias("cost"),
+    )
+
+
 def derived_arms(spark, d):
-    """Rows of a derived arm: where a run of one arm is ungraded, the sibling arm's family decides."""
-    r = _runs(spark, d).select("arm", "family", "outcome")
-    usual = r.where("arm = 'S0'").groupBy("family").agg(F.max(F.when(F.col("outcome") == "success", 1).otherwise(0)).alias("ok"))
-    derived = r.where("arm = 'S2'").join(usual, "family", "left").select(F.lit("S2R").alias("arm"), "family", F.when((F.col("outcome") == "ungraded") & (F.col("ok") == 1), "success").otherwise(F.col("outcome")).alias("outcome"))
-    return r.unionByName(derived).groupBy("arm", "outcome").agg(F.count("*").alias("runs"))
+    """Two derived arms of S2 with S0 as the original: read again where unreadable, and only where a window matched."""
+    g = _graded(spark, d)
+    rows = g.withColumn("fallback", F.lit(None).cast("string")).drop("matched")
+    for name, by_match in (("S2R", False), ("S2p", True)):
+        rows = rows.unionByName(ledger.fallback_arm(g, "S2", "S0", name, by_match))
+    return rows.groupBy("arm", "outcome", "fallback").agg(F.count("*").alias("runs"), F.count(F.when(F.col("correct"), 1)).alias("correct"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
+
+
+def started_means(spark, d):
+    """Accuracy by derived arm and condition, runs that never started left out."""
+    g = _graded(spark, d)
+    rows = ledger.fallback_arm(g, "S2", "S0", "S2p", True)
+    return rows.groupBy("condition").agg(F.count("*").alias("runs"), F.count(F.when(F.col("outcome") == "not_started", 1)).alias("not_started"), F.round(ledger.started_mean(F.col("outcome"), F.col("correct")), 9).alias("accuracy"))
 
 
 def excerpt_replay(spark, d):
-    """Whether the first or any excerpt holds a line that names the gold phrase."""
+    """Per text with lines that name the gold phrase: whether the first or any excerpt holds one, and whether a tie took its place."""
     e = multi_excerpt(spark, d).select("doc_id", "excerpt_no", "start_line", "end_line")
-    gold = textindex.split_lines(docs(spark, d), "doc_id", "text").where("contains(lower(text), 'packing list')").groupBy("doc_id").agg(F.min("line").alias("gold"))
-    hit = F.col("gold").between(F.col("start_line"), F.col("end_line"))
-    per = gold.join(e, "doc_id", "left").groupBy("doc_id").agg(F.coalesce(F.bool_or(hit & (F.col("excerpt_no") == 1)), F.lit(False)).alias("hit"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit_any"))
-    return per.agg(F.count("*").alias("texts"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(F.col("hit_any"), 1)).alias("hits_any"))
+    spans = e.groupBy("doc_id").agg(F.collect_list(F.struct("excerpt_no", "start_line", "end_line")).alias("spans"))  # at most 20 a text
+    s = _scores(spark, d)
+    gold = s.where("contains(lower(text), 'packing list')").select("doc_id", "line", "score")
+    best = s.groupBy("doc_id").agg(F.max("score").alias("best"))
+    near = lambda x: F.col("line").between(x["start_line"], x["end_line"])
+    j = gold.join(spans, "doc_id", "left").join(best, "doc_id").select("doc_id", F.exists("spans", lambda x: near(x) & (x["excerpt_no"] == 1)).alias("h1"), F.exists("spans", near).alias("h"), (F.col("score") == F.col("best")).alias("tied"))
+    per = j.groupBy("doc_id").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("h1", "h", "tied")])
+    return per.agg(F.count("*").alias("texts"), F.count(F.when(F.col("h1"), 1)).alias("hits"), F.count(F.when(F.col("h"), 1)).alias("hits_any"), F.count(F.when(~F.col("h") & F.col("tied"), 1)).alias("lost_to_tie"))
 
 
 # ---------------------------------------------------------------- images
@@ -521,10 +606,10 @@ _QUERIES: dict[str, Query] = {
     for f in (
         token_estimate, budget_fit, token_by_lang, line_index, line_map_agreement, artifact_ids, line_stats, duplicate_content, split_leakage, nfkc_terms,
         term_score_lines, best_line_ties, omitted_matches, first_excerpt, multi_excerpt, query_responses, merge_spans, gold_containment, span_overlaps, query_variants,
-        summary_prefix, gated_summary, policy_reasons, policy_mode, policy_artifacts, content_match, outcome_class, arm_report, paired_diff, point_estimate, bootstrap_ci,
+        summary_prefix, gated_summary, policy_reasons, policy_mode, policy_artifacts, content_match, outcome_class, arm_report, paired_coverage, paired_diff, paired_incomplete, point_estimate, bootstrap_ci,
         grouping_sets, turn_groups, two_level_mean, dataset_issues, pilot_quota, model_inputs, seeded_schedule, mock_run, exact_check, latency_nearest_rank, type7_quantiles,
         sample_cv, drift_halves, ordered_cost_sum, token_reduction, conservative_gates, verdicts, percent_agreement, label_crosstab, paired_raters, audit_order,
-        compaction_epochs, cache_cost, missing_slots, latest_wins, optional_key_join, lru_replay, stream_index, graded_slots, question_keywords, slot_costs, paired_conditions, derived_arms, excerpt_replay, image_tokens, overview_sizes, image_tokens_recorded, overview_sizes_recorded, crop_decisions,
+        compaction_epochs, cache_cost, missing_slots, latest_wins, optional_key_join, lru_replay, stream_index, graded_slots, question_keywords, slot_costs, paired_conditions, derived_arms, started_means, excerpt_replay, image_tokens, overview_sizes, image_tokens_recorded, overview_sizes_recorded, crop_decisions,
         p5_found, p5_turns, p5_tool_calls, p5_excerpts, p5_originals, p5_images, p5_more_matches, p5_errors,
     )
 }

@@ -69,9 +69,14 @@ runs AS (SELECT condition_code AS arm, template AS family, attempt_id, turn,
   CASE WHEN answer IS NULL THEN 'failure' WHEN coalesce(len(gold), 0) = 0 THEN 'ungraded' WHEN coalesce(hit, false) THEN 'success' ELSE 'failure' END AS outcome,
   (coalesce(tool_calls, 0) * 0.25 + coalesce(originals_requested, 0) * 0.5)::DOUBLE AS cost, (epoch_us(received_at) - epoch_us(answered_at)) / 1000.0::DOUBLE AS latency
   FROM turns LEFT JOIN hits USING (attempt_id, turn) WHERE condition_code IS NOT NULL)"""
-_PAIRED = """fam AS (SELECT family, count(*) FILTER (arm = 'S0' AND outcome = 'success') AS reference_successes, count(*) FILTER (arm = 'S2' AND outcome = 'success') AS comparison_successes FROM runs GROUP BY family),
-pd AS (SELECT *, (comparison_successes - reference_successes) / 6.0::DOUBLE AS difference FROM fam)"""
-_LAT = "lat AS (SELECT lower(trim(name)) AS name, sample_id, latency_ms, raw_tokens, optimized_tokens, passed_exact_gate FROM run_sample WHERE latency_ms >= 0 AND NOT isnan(latency_ms))"
+_LEDGER = """slots AS (SELECT arm, family, turn % 2 AS half, (turn - 1) // 2 % 3 AS attempt, count(*) FILTER (outcome = 'success') AS won, count(*) FILTER (outcome <> 'ungraded') AS graded, sum(cost) AS cost, max(latency) AS latency
+  FROM runs WHERE turn BETWEEN 1 AND 9 GROUP BY ALL),
+led AS (SELECT arm, family, cost, latency, CASE WHEN graded = 0 THEN 'ungraded' WHEN won * 2 >= graded THEN 'success' ELSE 'failure' END AS outcome FROM slots),
+size AS (SELECT count(DISTINCT family) * 6 AS planned FROM runs)"""
+# Successes of a family's six planned runs in each of two arms; nothing while a planned run of an arm is missing or ungraded.
+_PAIRED = """gap AS (SELECT (SELECT planned FROM size) * 2 - (SELECT count(*) FROM led WHERE arm IN ('S1', 'S2') AND outcome <> 'ungraded') AS missing),
+pd AS (SELECT family, 'factual' AS category, count(*) FILTER (arm = 'S1' AND outcome = 'success') AS reference_successes, count(*) FILTER (arm = 'S2' AND outcome = 'success') AS comparison_successes FROM led, gap WHERE missing = 0 GROUP BY family)"""
+_LAT = "lat AS (SELECT lower(trim(name)) AS name, sample_id, series_id, latency_ms, raw_tokens, optimized_tokens, passed_exact_gate FROM run_sample WHERE latency_ms >= 0 AND NOT isnan(latency_ms))"
 
 
 def _fired(patterns: list[str]) -> str:
@@ -111,10 +116,28 @@ def _mulberry(seed: int, draw: str) -> str:
   SELECT i, k, {_MUL.format(a="xor(a, a >> 15)", b="a | 1")} AS t1 FROM (SELECT i, k, ({seed} + {_MUL.format(a=draw, b="1831565813")}) {_U32} AS a FROM grid)))"""
 
 
+_LANG = "CASE WHEN lower(trim(lang)) IN ('en', 'eng') THEN 'en' WHEN lower(trim(lang)) IN ('ko', 'kor') THEN 'ko' WHEN lower(trim(lang)) IN ('de', 'ger', 'deu') THEN 'de' ELSE 'other' END"
+
+
+def _label(c: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower(trim({c})), '[.\s]+$', ''), '[\s_-]+', '_', 'g')"
+
+
+_VERIFY = f"v AS (SELECT item_id, kind, {_label('claude_label')} AS claude_label, {_label('openai_label')} AS openai_label, {_label('final_label')} AS final_label FROM (SELECT DISTINCT * FROM verify))"
+_GRADED = f"""graded AS (SELECT condition_code AS arm, t.attempt_id, t.turn, template AS family, question, CASE WHEN turn_type LIKE 'late%' THEN 'late' WHEN turn_type LIKE 'immediate%' THEN 'immediate' ELSE turn_type END AS condition, coalesce(tool_calls, 0) > 0 AS matched,
+  CASE WHEN answer IS NULL THEN 'failed' ELSE 'answered' END AS outcome, t.answer, coalesce(hit, false) AS correct, {_est("concat_ws(' ', question, answer)")}::BIGINT AS tokens, coalesce(originals_requested, 0) * 0.5::DOUBLE + 0.25::DOUBLE AS cost
+  FROM turns t LEFT JOIN hits h ON t.attempt_id = h.attempt_id AND t.turn = h.turn WHERE condition_code IS NOT NULL),
+orig AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, question, condition ORDER BY attempt_id || '/' || lpad(turn::VARCHAR, 6, '0')) AS k FROM graded WHERE arm = 'S0') WHERE k = 1),
+two AS (SELECT c.condition, c.outcome AS co, c.correct AS cc, c.tokens AS ct, c.cost AS cm, a.outcome AS ao, a.correct AS ac, a.tokens AS t2, a.cost AS m2, a.arm IS NOT NULL AS known, c.matched, c.outcome = 'answered' AND contains(lower(coalesce(c.answer, '')), 'unreadable') AS unread
+  FROM graded c LEFT JOIN orig a ON c.family = a.family AND c.question = a.question AND c.condition = a.condition WHERE c.arm = 'S2'),
+again AS (SELECT 'S2R' AS arm, condition, co AS outcome, CASE WHEN unread AND known THEN 'unreadable' END AS fallback, CASE WHEN unread AND known THEN ac ELSE cc END AS correct, ct + CASE WHEN unread AND known THEN t2 ELSE 0 END AS tokens, cm + CASE WHEN unread AND known THEN m2 ELSE 0 END AS cost FROM two),
+window_arm AS (SELECT 'S2p' AS arm, condition, CASE WHEN NOT known THEN 'not_started' WHEN NOT matched OR unread THEN ao ELSE co END AS outcome, CASE WHEN NOT known THEN NULL WHEN NOT matched THEN 'no_window' WHEN unread THEN 'unreadable' END AS fallback,
+  CASE WHEN known AND (NOT matched OR unread) THEN ac ELSE cc END AS correct, CASE WHEN known AND NOT matched THEN t2 WHEN known AND unread THEN ct + t2 ELSE ct END AS tokens, CASE WHEN known AND NOT matched THEN m2 WHEN known AND unread THEN cm + m2 ELSE cm END AS cost FROM two)"""
+
 ORACLES = {
     "token_estimate": f"SELECT doc_id, {_est('text')} AS tokens FROM documents",
     "budget_fit": f"SELECT doc_id, tokens, coalesce(tokens <= 400, true) AS fits FROM (SELECT doc_id, {_est('text')} AS tokens FROM documents)",
-    "token_by_lang": f"SELECT lang, count(*) AS documents, sum({_est('text')})::BIGINT AS tokens FROM documents GROUP BY lang",
+    "token_by_lang": f"SELECT {_LANG} AS lang, count(*) AS documents, sum({_est('text')})::BIGINT AS tokens FROM documents GROUP BY 1",
     "line_index": f"""WITH {_LINES} SELECT doc_id, line, (e - strlen(text) - strlen(delimiter))::BIGINT AS start_byte, (e - strlen(delimiter))::BIGINT AS end_byte, text, delimiter
 FROM (SELECT *, sum(strlen(text) + strlen(delimiter)) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS e FROM parts)""",
     "line_map_agreement": f"""WITH art AS (SELECT DISTINCT artifact_id, content FROM artifact_record), {_raw("art", "artifact_id", "content")},
@@ -144,16 +167,15 @@ UNION ALL SELECT doc_id, 0, 0, 0, false, NULL, 0 FROM documents WHERE coalesce(l
     "policy_reasons": _policy(),
     "content_match": f"WITH {_TURNS}, {_MATCH} SELECT attempt_id, turn, coalesce(hit, false) AS correct, coalesce(contains(lower(answer), 'unreadable'), false) AS unreadable FROM turns LEFT JOIN hits USING (attempt_id, turn)",
     "outcome_class": f"WITH {_RUNS} SELECT arm, outcome, count(*) AS runs FROM runs GROUP BY ALL",
-    "arm_report": f"""WITH {_RUNS}, arms(arm) AS (VALUES ('S0'), ('S1'), ('S2'), ('S3'), ('S4'), ('S9')),
+    "arm_report": f"""WITH {_RUNS}, {_LEDGER}, arms(arm) AS (VALUES ('S0'), ('S1'), ('S2'), ('S3'), ('S4'), ('S9')),
 per AS (SELECT arm, count(*) AS submitted, count(*) FILTER (outcome = 'success') AS successes, count(*) FILTER (outcome = 'ungraded') AS ungraded, list_sum(list(cost ORDER BY cost)) AS c, count(latency) AS latency_n,
-  quantile_disc(latency, 0.5) AS median_latency, quantile_disc(latency, 0.95) AS p95_latency FROM runs GROUP BY arm),
-j AS (SELECT arm, coalesce(submitted, 0) AS submitted, coalesce(successes, 0) AS successes, coalesce(ungraded, 0) AS ungraded, c, coalesce(latency_n, 0) AS latency_n, median_latency, p95_latency FROM arms LEFT JOIN per USING (arm)),
-k AS (SELECT *, max(submitted) OVER () AS planned FROM j)
-SELECT arm, planned, submitted, planned - submitted AS missing, ungraded, successes, submitted - successes - ungraded AS failures, (planned = submitted AND ungraded = 0) AS complete,
-  CASE WHEN ungraded = 0 THEN round(successes / planned::DOUBLE, 9) END AS success_rate, CASE WHEN planned = submitted THEN c END AS total_cost, latency_n, median_latency, p95_latency FROM k""",
-    "paired_diff": f"WITH {_RUNS}, {_PAIRED} SELECT family, reference_successes, comparison_successes, round(difference, 9) AS difference FROM pd",
-    "point_estimate": f"WITH {_RUNS}, {_PAIRED} SELECT count(*) AS families, round(avg(round(difference, 9)), 9) AS point_estimate FROM pd",
-    "bootstrap_ci": f"""WITH {_RUNS}, {_PAIRED}, ds AS (SELECT row_number() OVER (ORDER BY family) - 1 AS j, difference AS d FROM pd), n AS (SELECT count(*) AS n FROM ds),
+  quantile_disc(latency, 0.5) AS median_latency, quantile_disc(latency, 0.95) AS p95_latency FROM led GROUP BY arm),
+k AS (SELECT arm, (SELECT planned FROM size)::BIGINT AS planned, coalesce(submitted, 0) AS submitted, coalesce(successes, 0) AS successes, coalesce(ungraded, 0) AS ungraded, c, coalesce(latency_n, 0) AS latency_n, median_latency, p95_latency FROM arms LEFT JOIN per USING (arm))
+SELECT arm, planned, submitted, planned - submitted AS missing, ungraded, successes, submitted - successes - ungraded AS failures, (planned = submitted AND ungraded = 0) AS complete, CASE WHEN ungraded = 0 THEN round(successes / planned::DOUBLE, 9) END AS success_rate,
+  CASE WHEN planned = submitted THEN c END AS total_cost, CASE WHEN planned = submitted AND ungraded = 0 AND successes > 0 THEN round(c / successes, 9) END AS cost_per_success, latency_n, median_latency, p95_latency FROM k""",
+    "paired_diff": f"WITH {_RUNS}, {_LEDGER}, {_PAIRED} SELECT family, category, reference_successes, comparison_successes, round(reference_successes / 6.0::DOUBLE, 9) AS reference_rate, round(comparison_successes / 6.0::DOUBLE, 9) AS comparison_rate, round((comparison_successes - reference_successes) / 6.0::DOUBLE, 9) AS difference FROM pd",
+    "point_estimate": f"WITH {_RUNS}, {_LEDGER}, {_PAIRED} SELECT count(*) AS families, round(sum(comparison_successes - reference_successes) / (6.0::DOUBLE * count(*)), 9) AS point_estimate FROM pd",
+    "bootstrap_ci": f"""WITH {_RUNS}, {_LEDGER}, {_PAIRED}, ds AS (SELECT row_number() OVER (ORDER BY family) - 1 AS j, (comparison_successes - reference_successes) / 6.0::DOUBLE AS d FROM pd), n AS (SELECT count(*) AS n FROM ds),
 grid AS (SELECT x // n AS i, x % n AS k, x + 1 AS m FROM n, unnest(range(0, {ROUNDS} * n)) t(x)),
 draws AS ({_mulberry(BOOT_SEED, "(k + i * (SELECT n FROM n) + 1)")}),
 ms AS (SELECT i, sum(d) / any_value(n) AS mean FROM (SELECT i, floor(u / 4294967296.0::DOUBLE * n)::BIGINT AS j, n FROM draws, n) JOIN ds USING (j) GROUP BY i),
@@ -167,8 +189,8 @@ SELECT round((SELECT mean FROM o WHERE r = {int(0.025 * ROUNDS)}), 9) AS lo, rou
 f AS (SELECT *, first_value(split) OVER (PARTITION BY family_id ORDER BY idx) AS fs, first_value(family_id) OVER (PARTITION BY h ORDER BY idx) AS ff, row_number() OVER (PARTITION BY id ORDER BY idx) AS k FROM r)
 SELECT idx, 'rubric_category_mismatch' AS code FROM f WHERE ex <> rx UNION ALL SELECT idx, 'source_hash_mismatch' FROM f WHERE bad UNION ALL SELECT idx, 'duplicate_id' FROM f WHERE k > 1
 UNION ALL SELECT idx, 'family_split_leakage' FROM f WHERE family_id IS NOT NULL AND split IS DISTINCT FROM fs UNION ALL SELECT idx, 'source_family_conflict' FROM f WHERE family_id IS DISTINCT FROM ff""",
-    "pilot_quota": """WITH f AS (SELECT family_id, arg_min(lang, doc_id) AS category, min(doc_id) % 3 AS split FROM documents WHERE lang IN ('en', 'ko', 'de') GROUP BY family_id),
-a AS (SELECT category, split, count(*) AS actual FROM f GROUP BY ALL), e AS (SELECT category, split::BIGINT AS split, 20::BIGINT AS expected FROM (VALUES ('en'), ('ko'), ('de'), ('fr')) c(category), range(0, 3) t(split))
+    "pilot_quota": f"""WITH f AS (SELECT family_id, arg_min({_LANG}, doc_id) AS category, min(doc_id) % 3 AS split FROM documents WHERE family_id IS NOT NULL GROUP BY family_id),
+a AS (SELECT category, split, count(*) AS actual FROM f GROUP BY ALL), e AS (SELECT category, split::BIGINT AS split, 20::BIGINT AS expected FROM (VALUES ('en'), ('ko'), ('de'), ('fr'), ('other')) c(category), range(0, 3) t(split))
 SELECT category, split, expected, coalesce(actual, 0) AS actual FROM e LEFT JOIN a USING (category, split) WHERE coalesce(actual, 0) <> expected""",
     "model_inputs": f"WITH {_TURNS} SELECT attempt_id || '-' || turn AS id, 'en' AS language, template AS text, question FROM turns WHERE turn % 2 = 0",
     "seeded_schedule": f"""WITH {_TURNS}, f AS (SELECT DISTINCT template AS family FROM turns), t AS (SELECT family, l AS language, family || '-' || l AS task FROM f, (VALUES ('en'), ('ko')) x(l)),
@@ -192,17 +214,30 @@ SELECT g.o_custkey, planned, (CASE WHEN why IS NULL THEN planned WHEN off THEN o
     "latency_nearest_rank": f"WITH {_LAT} SELECT name, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM lat GROUP BY name",
     "type7_quantiles": f"WITH {_LAT} SELECT name, round(quantile_cont(latency_ms, 0.025), 6) AS q25, round(quantile_cont(latency_ms, 0.5), 6) AS q500, round(quantile_cont(latency_ms, 0.975), 6) AS q975 FROM lat GROUP BY name",
     "sample_cv": f"WITH {_LAT} SELECT name, round(stddev_samp(latency_ms) / avg(latency_ms), 6) AS cv FROM lat GROUP BY name",
-    "drift_halves": f"""WITH {_LAT}, b AS (SELECT *, max(sample_id) OVER (PARTITION BY name) AS n FROM lat),
-g AS (SELECT name, avg(latency_ms) FILTER (sample_id < (n + 1) / 2.0::DOUBLE) AS early, avg(latency_ms) FILTER (sample_id >= (n + 1) / 2.0::DOUBLE) AS late FROM b GROUP BY name)
+    "drift_halves": f"""WITH {_LAT}, b AS (SELECT name, floor(latency_ms * 1000)::BIGINT AS us, row_number() OVER (PARTITION BY name ORDER BY sample_id, latency_ms) AS i, count(*) OVER (PARTITION BY name) AS n FROM lat),
+g AS (SELECT name, avg(us) FILTER (i <= ceil(n / 2.0::DOUBLE)) AS early, avg(us) FILTER (i > ceil(n / 2.0::DOUBLE)) AS late FROM b GROUP BY name)
 SELECT name, round(early, 6) AS early, round(late, 6) AS late, round(late / early, 6) AS ratio FROM g""",
     "ordered_cost_sum": "SELECT l_orderkey, list_reduce(list_prepend(0.0::DOUBLE, list(l_extendedprice::DOUBLE ORDER BY l_extendedprice)), lambda a, x: a + x) AS total FROM lineitem GROUP BY l_orderkey",
     "token_reduction": f"WITH {_LAT}, g AS (SELECT name, sum(raw_tokens)::BIGINT AS raw, sum(optimized_tokens)::BIGINT AS optimized FROM lat GROUP BY name) SELECT name, raw, optimized, CASE WHEN raw = 0 THEN 0.0::DOUBLE ELSE floor((1 - optimized / raw::DOUBLE) * 1000 + 0.5) / 10 END AS reduction_pct FROM g",
-    "conservative_gates": f"WITH {_LAT}, g AS (SELECT name, min(raw_tokens) AS min_raw, max(optimized_tokens) AS max_optimized, bool_and(passed_exact_gate) AS all_passed, bool_or(passed_exact_gate) AS any_passed, quantile_disc(latency_ms, 0.95) AS p95 FROM lat GROUP BY name) SELECT *, (p95 > 1000 OR NOT coalesce(all_passed, false)) AS fails FROM g",
-    "verdicts": f"""WITH {_LAT}, g AS (SELECT name, avg(latency_ms) FILTER (sample_id % 3 = 0) AS a, avg(latency_ms) FILTER (sample_id % 3 = 1) AS a2, avg(latency_ms) FILTER (sample_id % 3 = 2) AS b, count(*) AS n FROM lat GROUP BY name)
-SELECT name, CASE WHEN n < 100 OR a2 / a < 1 - 0.25::DOUBLE OR a2 / a > 1 + 0.25::DOUBLE THEN 'INVALID' WHEN b / a > 1.1::DOUBLE THEN 'FAIL' WHEN b / a * 1.02::DOUBLE > 1.1::DOUBLE THEN 'BORDERLINE' ELSE 'PASS' END AS verdict FROM g""",
-    "percent_agreement": "SELECT kind, count(*) AS items, round(avg((claude_label = openai_label)::INT)::DOUBLE, 9) AS agreement FROM (SELECT DISTINCT * FROM verify) WHERE claude_label IS NOT NULL AND openai_label IS NOT NULL GROUP BY kind",
-    "label_crosstab": "SELECT claude_label, openai_label, count(*) AS items FROM (SELECT DISTINCT * FROM verify) GROUP BY ALL",
-    "paired_raters": "SELECT item_id, claude_label, openai_label, CASE WHEN claude_label = openai_label THEN claude_label ELSE final_label END AS settled FROM (SELECT DISTINCT * FROM verify) WHERE claude_label IS NOT NULL AND openai_label IS NOT NULL",
+    "conservative_gates": f"""WITH {_LAT}, s AS (SELECT name, series_id, sum(raw_tokens) AS raw, sum(optimized_tokens) AS optimized, bool_and(passed_exact_gate) AS passed FROM lat GROUP BY ALL),
+r AS (SELECT *, CASE WHEN raw = 0 THEN 0.0::DOUBLE ELSE floor((1 - optimized / raw::DOUBLE) * 1000 + 0.5) / 10 END AS reduction FROM s),
+w AS (SELECT *, CASE WHEN passed IS NULL THEN 'no_gate' WHEN NOT passed THEN 'gate_failed' WHEN reduction < 25 THEN 'small_reduction' END AS warning FROM r),
+g AS (SELECT name, count(*) AS series, min(reduction) AS min_reduction, bool_and(coalesce(passed, false)) AS all_passed, bool_or(passed) AS any_passed, coalesce(string_agg(DISTINCT warning, ',' ORDER BY warning), '') AS warnings FROM w GROUP BY name),
+p AS (SELECT name, quantile_disc(latency_ms, 0.95) AS p95 FROM lat GROUP BY name)
+SELECT *, (p95 > 1000 OR NOT all_passed OR min_reduction < 25) AS fails FROM g JOIN p USING (name)""",
+    "verdicts": f"""WITH {_LAT}, c AS (SELECT name, sample_id // 3 % 36 AS r, avg(us) FILTER (v = 0) AS a, avg(us) FILTER (v = 1) AS a2, avg(us) FILTER (v = 2) AS b FROM (SELECT name, sample_id, sample_id % 3 AS v, floor(latency_ms * 1000)::BIGINT AS us FROM lat) GROUP BY ALL),
+k AS (SELECT name, r, b / ((a + a2) / 2) AS x, a2 / a AS y FROM c WHERE a > 0 AND a2 > 0 AND b > 0),
+per AS (SELECT name, count(*) AS rounds, median(y) AS aa, list(x ORDER BY r) AS xs FROM k GROUP BY name), full_ AS (SELECT * FROM per WHERE rounds = 36),
+grid AS (SELECT i, j, i * 6 + j + 1 AS m, i AS k FROM range(0, {ROUNDS}) a(i), range(0, 6) b(j)),
+u AS ({_mulberry(BOOT_SEED, "m").replace("SELECT i, k,", "SELECT i, j,")}),
+pick AS (SELECT i, list(floor(u / 4294967296.0::DOUBLE * 6)::BIGINT) AS bs FROM u GROUP BY i),
+ms AS (SELECT name, i, list_median(flatten(list_transform(bs, lambda b: list_slice(xs, b * 6 + 1, b * 6 + 6)))) AS m FROM full_, pick),
+ci AS (SELECT name, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM ms GROUP BY name),
+t AS (SELECT n.name, coalesce(rounds, 0)::BIGINT AS rounds, aa, CASE WHEN rounds = 36 THEN list_median(xs) END AS point, lo, hi FROM (SELECT DISTINCT name FROM lat) n LEFT JOIN per ON per.name = n.name LEFT JOIN ci ON ci.name = n.name)
+SELECT name, rounds, round(aa, 9) AS aa, round(point, 9) AS point, round(lo, 9) AS lo, round(hi, 9) AS hi, CASE WHEN rounds <> 36 OR aa < 0.75 OR aa > 1.25 THEN 'INVALID' WHEN point > 1.1 THEN 'FAIL' WHEN hi > 1.1 THEN 'BORDERLINE' ELSE 'PASS' END AS verdict FROM t""",
+    "percent_agreement": f"WITH {_VERIFY} SELECT kind, count(*) AS items, round(avg((claude_label = openai_label)::INT)::DOUBLE, 9) AS agreement FROM v WHERE claude_label IS NOT NULL AND openai_label IS NOT NULL GROUP BY kind",
+    "label_crosstab": f"WITH {_VERIFY} SELECT claude_label, openai_label, count(*) AS items FROM v GROUP BY ALL",
+    "paired_raters": f"WITH {_VERIFY} SELECT item_id, claude_label, openai_label, CASE WHEN claude_label = openai_label THEN claude_label ELSE final_label END AS settled FROM v WHERE claude_label IS NOT NULL AND openai_label IS NOT NULL",
     "audit_order": "SELECT DISTINCT item_id, sha256('order-v1|rater-01|' || item_id) AS rank_key FROM verify",
     "compaction_epochs": f"""WITH {_TURNS}, t AS (SELECT attempt_id, turn, {_est("coalesce(question, '')")} + {_est("coalesce(answer, '')")} AS tokens, (turn > 3)::INT + (turn > 6)::INT AS epoch FROM turns)
 SELECT attempt_id, turn, epoch, sum(tokens) OVER (PARTITION BY attempt_id, epoch ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running_tokens FROM t""",
@@ -221,9 +256,8 @@ SELECT condition_code, count(*) AS slots, count(*) FILTER (list_contains(gs, a))
     "slot_costs": f"WITH {_TURNS} SELECT attempt_id, turn, round(3 * ({_est("coalesce(question, '')")} * 2.5::DOUBLE + 600.0::DOUBLE) / 1e6, 9) AS cost FROM turns",
     "paired_conditions": f"""WITH {_RUNS}, p AS (SELECT arm, family, avg(CASE WHEN outcome = 'success' THEN 1.0 ELSE 0.0 END)::DOUBLE AS s FROM runs GROUP BY ALL)
 SELECT a.family, round(a.s, 9) AS a, round(b.s, 9) AS b, round(a.s - b.s, 9) AS diff FROM p a JOIN p b ON a.family = b.family AND a.arm = 'S2' AND b.arm = 'S0'""",
-    "derived_arms": f"""WITH {_RUNS}, u AS (SELECT family, max((outcome = 'success')::INT) AS ok FROM runs WHERE arm = 'S0' GROUP BY family),
-x AS (SELECT arm, outcome FROM runs UNION ALL SELECT 'S2R', CASE WHEN outcome = 'ungraded' AND ok = 1 THEN 'success' ELSE outcome END FROM runs LEFT JOIN u USING (family) WHERE arm = 'S2')
-SELECT arm, outcome, count(*) AS runs FROM x GROUP BY ALL""",
+    "derived_arms": f"""WITH {_TURNS}, {_MATCH}, {_GRADED}, x AS (SELECT arm, outcome, NULL AS fallback, correct, tokens, cost FROM graded UNION ALL SELECT * EXCLUDE (condition) FROM again UNION ALL SELECT * EXCLUDE (condition) FROM window_arm)
+SELECT arm, outcome, fallback, count(*) AS runs, count(*) FILTER (correct) AS correct, sum(tokens)::BIGINT AS tokens, sum(cost) AS cost FROM x GROUP BY ALL""",
     "image_tokens": """WITH s(x) AS (VALUES (64), (256), (512), (768), (1000), (1092), (1536), (2049), (4096)), g AS (SELECT a.x::BIGINT AS w, b.x::BIGINT AS h FROM s a, s b),
 f AS (SELECT w, h, floor(w * least(1.0::DOUBLE, 2048.0::DOUBLE / greatest(w, h))) AS fw, floor(h * least(1.0::DOUBLE, 2048.0::DOUBLE / greatest(w, h))) AS fh FROM g),
 k AS (SELECT *, CASE WHEN least(fw, fh) > 768 THEN 768.0::DOUBLE / least(fw, fh) ELSE 1.0::DOUBLE END AS z FROM f),
@@ -234,6 +268,10 @@ SELECT k.w, k.h, (85 + 170 * ceil(floor(fw * z) / 512.0::DOUBLE) * ceil(floor(fh
   (CASE WHEN greatest(k.w, k.h) <= 1568 AND ceil(k.w / 28.0::DOUBLE) * ceil(k.h / 28.0::DOUBLE) <= 1568 THEN ceil(k.w / 28.0::DOUBLE) * ceil(k.h / 28.0::DOUBLE) ELSE coalesce(p, 0) END)::BIGINT AS patches FROM k LEFT JOIN b ON k.w = b.w AND k.h = b.h""",
     "overview_sizes": """WITH s(x) AS (VALUES (64), (256), (512), (768), (1000), (1092), (1536), (2049), (4096)), g AS (SELECT a.x::BIGINT AS w, b.x::BIGINT AS h, least(1.0::DOUBLE, 512.0::DOUBLE / greatest(a.x, b.x)) AS z FROM s a, s b)
 SELECT w, h, greatest(1, floor(w * z + 0.5))::INTEGER AS ow, greatest(1, floor(h * z + 0.5))::INTEGER AS oh FROM g""",
+    "paired_incomplete": "SELECT template AS family, 0.0::DOUBLE AS difference FROM session_turn WHERE condition_code = 'S9'",
+    "paired_coverage": f"""WITH {_RUNS}, {_LEDGER}, arms(arm) AS (VALUES ('S0'), ('S1'), ('S2'), ('S3'), ('S4'), ('S9'))
+SELECT arms.arm, any_value(planned)::BIGINT AS planned, count(led.arm) AS submitted, (any_value(planned) - count(led.arm))::BIGINT AS missing, count(*) FILTER (outcome = 'ungraded') AS ungraded FROM size, arms LEFT JOIN led ON arms.arm = led.arm GROUP BY arms.arm""",
+    "started_means": f"WITH {_TURNS}, {_MATCH}, {_GRADED} SELECT condition, count(*) AS runs, count(*) FILTER (outcome = 'not_started') AS not_started, round(avg(correct::INT) FILTER (outcome <> 'not_started')::DOUBLE, 9) AS accuracy FROM window_arm GROUP BY condition",
 }
 
 

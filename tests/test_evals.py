@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,10 +42,52 @@ def test_ledger_errors_come_in_order(spark):
             ledger.check_ledger(spark.createDataFrame(rows, kind), tasks, arms, 3)
 
 
+def plan_of(spark, families, category="factual", languages=("en", "ko")):
+    return spark.createDataFrame([(f, f"{f}-{x}", x, category) for f in families for x in languages], "family string, task string, language string, category string")
+
+
 def test_paired_families(spark):
-    rows = [("f1", "r", "success")] * 3 + [("f1", "c", "success")] * 6 + [("f2", "r", "success")] * 6 + [("f2", "c", "failure")] * 6
-    f = ledger.paired_success(spark.createDataFrame(rows, "family string, arm string, outcome string"), "r", "c", 6)
-    assert ledger.point_estimate(f).first()["point_estimate"] == -0.25
+    rows = [("f1", "r", "success")] * 3 + [("f1", "r", "failure")] * 3 + [("f1", "c", "success")] * 6 + [("f2", "r", "success")] * 6 + [("f2", "c", "failure")] * 6
+    kind, plan, arms = "family string, arm string, outcome string", plan_of(spark, ["f1", "f2"]), ["r", "c"]
+    f = ledger.paired_success(spark.createDataFrame(rows, kind), plan, arms, "r", "c")
+    assert {r["family"]: (r["reference_rate"], r["comparison_rate"], r["difference"]) for r in f.collect()} == {"f1": (0.5, 1.0, 0.5), "f2": (1.0, 0.0, -1.0)}
+    assert tuple(ledger.point_estimate(f).first()) == (2, -0.25)
+    for short in (rows[1:], [("f1", "r", "ungraded"), *rows[1:]]):
+        f = ledger.paired_success(spark.createDataFrame(short, kind), plan, arms, "r", "c")
+        assert f.count() == 0 and tuple(ledger.point_estimate(f).first()) == (0, None)
+    for bad, code in ((dict(arms=["r"]), "missing_contrast_arm"), (dict(attempts=2), "unsupported_analysis_attempts"), (dict(tasks=plan_of(spark, ["f1"], languages=("en", "de"))), "invalid_analysis_family"), (dict(tasks=plan_of(spark, range(10_000))), "analysis_capacity_exceeded")):
+        with pytest.raises(ValueError, match=code):
+            ledger.paired_success(**(dict(outcomes=spark.createDataFrame(rows, kind), tasks=plan, arms=arms, reference="r", comparison="c") | bad))
+
+
+def test_derived_arms(spark):
+    kind = "arm string, key string, family string, question string, condition string, matched boolean, outcome string, answer string, correct boolean, tokens long, cost double"
+    base = [("C", f"k{i}", "f", f"q{i}", "x", m, o, a, False, 10, 1.0) for i, (m, o, a) in enumerate([(True, "answered", "It is UNREADABLE"), (False, "answered", "unreadable"), (True, "answered", "7"), (True, "failed", None), (True, "answered", "unreadable")])]
+    orig = [("A", f"a{i}", "f", f"q{i}", "x", None, "answered", "9", True, 5, 2.0) for i in range(4)] + [("A", "b0", "f", "q0", "x", None, "answered", "later", False, 1, 1.0)]
+    g = spark.createDataFrame(base + orig, kind)
+    of = lambda by: {r["key"]: (r["outcome"], r["answer"], r["correct"], r["tokens"], r["cost"], r["fallback"]) for r in ledger.fallback_arm(g, "C", "A", "D", by).collect()}
+    both = ("answered", "9", True, 15, 3.0, "unreadable")
+    assert of(False) == {"k0": both, "k1": both, "k2": ("answered", "7", False, 10, 1.0, None), "k3": ("failed", None, False, 10, 1.0, None), "k4": ("answered", "unreadable", False, 10, 1.0, None)}
+    assert of(True) == of(False) | {"k1": ("answered", "9", True, 5, 2.0, "no_window"), "k4": ("not_started", "unreadable", False, 10, 1.0, None)}
+    means = ledger.fallback_arm(g, "C", "A", "D", True).agg(ledger.started_mean(F.col("outcome"), F.col("correct")))
+    assert means.first()[0] == 0.5
+
+
+def test_ranks_of_a_hot_group(spark):
+    rnd = random.Random(2)
+    rows = [("hot" if i % 3 else f"g{i % 5}", rnd.choice([1.0, 2.0, rnd.random() * 9]), i) for i in range(900)] + [(None, 1.0, 900), ("one", None, 901)]
+    df = spark.createDataFrame(rows, "k string, v double, i long")
+    got = {(r["k"], r["i"]): (r["_rank"], r["_n"]) for r in robust.ranked(df, ["k"], ["v", "i"]).collect()}
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[k, r[2]] for r in own] == [(x, len(own)) for x in range(len(own))]
+    q = {r["k"]: r for r in robust.order_statistics(robust.ranked(df, ["k"], ["v", "i"]), ["k"], "v", {"p": 0.95}, {"q": 0.3}).collect()}
+    hot = np.array([r[1] for r in rows if r[0] == "hot"])
+    assert q["hot"]["p"] == np.sort(hot)[int(np.ceil(0.95 * len(hot))) - 1] and q["hot"]["q"] == pytest.approx(np.quantile(hot, 0.3))
+    d = {r["k"]: r for r in robust.drift(df.where("k = 'hot'"), ["k"], ["i"], "v").collect()}["hot"]
+    by = [r[1] for r in rows if r[0] == "hot"]
+    half = -(-len(by) // 2)
+    assert (d["early"], d["late"]) == (pytest.approx(np.mean(by[:half])), pytest.approx(np.mean(by[half:])))
 
 
 FIRST = [((10, 100, 100, 11, 10, 4), ("request_timeout", 10, 0, None, 1)), ((10, 10, 100, 10, 10, 4), ("run_timeout", 10, 0, None, 1)), ((10, 100, 9, 1, 10, 4), ("budget_exhausted", 0, 0, 0, 0)), ((10, 100, 100, 1, 10, None), ("unknown_cost", 1, 0, None, 1)), ((10, 100, 100, 1, 10, 11), ("reservation_exceeded", 1, 11, 11, 1))]

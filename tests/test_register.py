@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia import sessions
@@ -27,7 +28,7 @@ def test_slots_and_words(spark):
 
 def test_block_bootstrap_against_a_loop(spark):
     blocks = [[1.0, 1.1], [0.9, 1.0], [1.2, 1.3]]
-    m = robust.bootstrap_medians(spark.createDataFrame(list(enumerate(blocks)), "j long, ratios array<double>"), 30, 11)
+    m = robust.block_bootstrap(spark.createDataFrame([("r", blocks), ("none", []), ("null", None)], "k string, b array<array<double>>"), "k", "b", 30, 11)
     a, want = 11, []
     for _ in range(30):
         pick = []
@@ -37,7 +38,12 @@ def test_block_bootstrap_against_a_loop(spark):
             t ^= (t + ((t ^ (t >> 7)) * (t | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
             pick += blocks[int((t ^ (t >> 14)) / 4294967296 * 3)]
         want.append(float(np.median(pick)))
-    assert [r["median"] for r in m.orderBy("i").collect()] == want
+    assert [tuple(r) for r in m.collect()] == [("r", pytest.approx(1.05), pytest.approx(np.quantile(want, 0.025)), pytest.approx(np.quantile(want, 0.975)))]
+    got = robust.ratio_bootstrap([1.0, 2.0, 4.0], [1.1, 2.0, 4.8], 7, 200)
+    x, y, draws = np.array([1.0, 2.0, 4.0]), np.array([1.1, 2.0, 4.8]), robust.lcg(7, 600)
+    picks = [[int(u * 3) for u in draws[3 * k : 3 * k + 3]] for k in range(200)]
+    paired = sorted(np.median([y[i] / x[i] for i in p]) for p in picks)
+    assert got["paired_ci"] == [round(paired[5], 4), round(paired[194], 4)] and got["paired_ratio"] == 1.1 and got["median_ratio"] == 1.0
     assert sorted(robust.seeded_shuffle(range(20), 5)) == list(range(20)) and robust.seeded_shuffle(range(20), 5) == robust.seeded_shuffle(range(20), 5)
 
 
