@@ -6,11 +6,13 @@ lone LF end a line; a byte order mark stays in the text; there is no phantom lin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from marginalia.functions.text import cjk_units, tokens_of, utf16_units, word_count
 
 LINE = r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+"
 
@@ -50,17 +52,41 @@ def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.select(key, (F.col("_i") + 1).alias("line"), F.regexp_replace("_raw", r"(?:\r\n|\r|\n)\z", "").alias("text"), delimiter.alias("delimiter"))
 
 
+class Lines:
+    """The lines of an Arrow batch of texts, flattened: their text ``of`` places, delimiters and UTF-8 offsets."""
+
+    def __init__(self, raw: pa.Array) -> None:
+        raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+        self.counts = pc.fill_null(pc.list_value_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.of = np.repeat(np.arange(len(raw)), self.counts)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.raw = pc.list_flatten(raw)
+        self.text = pc.replace_substring_regex(self.raw, r"(?:\r\n|\r|\n)\z", "")
+        whole, body = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (self.raw, self.text))
+        self.start = self.running(whole) - whole
+        self.end = self.start + body
+        ends = whole - body
+        last_cr = pc.ends_with(self.raw, "\r").to_numpy(zero_copy_only=False)
+        self.delimiter = pa.array(np.where(ends == 2, "\r\n", np.where(ends == 0, "", np.where(last_cr, "\r", "\n"))), pa.string())
+
+    def running(self, values: np.ndarray) -> np.ndarray:
+        """Sums of ``values`` from each text's first line to each line."""
+        total = np.cumsum(values)
+        before = np.concatenate([[0], total])[self.first]
+        return total - before[self.of]
+
+
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line, start_byte, end_byte, text, delimiter``: one shuffle by ``key`` for the running offsets."""
-    d = split_lines(docs, key, text)
-    upto = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("text") + F.octet_length("delimiter")).over(upto), F.lit(0)).cast("long")
-    return d.withColumn("start_byte", start).select(key, "line", "start_byte", (F.col("start_byte") + F.octet_length("text")).alias("end_byte"), "text", "delimiter")
-
-
-def line_costs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per line the additive measures and the token cost of the LF-joined prefix that ends with it."""
-    d = split_lines(docs, key, text).select(key, "line", "text", utf16_units(F.col("text")).alias("units"), cjk_units(F.col("text")).alias("cjk"), word_count(F.col("text")).alias("words"))
-    w = Window.partitionBy(key).orderBy("line")
-    run = lambda c: F.sum(c).over(w)
-    return d.withColumn("prefix_tokens", tokens_of(run("units") + F.col("line") - 1, run("cjk"), run("words")))
+    """``key, line, start_byte, end_byte, text, delimiter``: offsets add up inside each text's row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = Lines(b.column(1))
+            number = np.arange(len(n.of)) - n.first[n.of] + 1
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(n.of)), pa.array(number.astype(np.int32)), pa.array(n.start), pa.array(n.end), n.text, n.delimiter],
+                names=[key, "line", "start_byte", "end_byte", "text", "delimiter"],
+            )
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, line_texts(F.col(text)).alias("_raw")).mapInArrow(run, f"`{key}` {kind}, line int, start_byte bigint, end_byte bigint, text string, delimiter string")
