@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import quality as Q
 
@@ -14,13 +15,28 @@ CASES = {
 
 def test_types_by_their_patterns():
     texts = [(k, t) for k, ts in CASES.items() for t in ts]
-    pats = np.array([Q.statistics(t)[1] for _, t in texts])
-    u, n = np.unique(pats, return_counts=True)
-    _, fires, post = Q.learn(u, n.astype(float))
-    kind = {int(p): Q.KINDS[int(q.argmax())] for p, q in zip(u, post)}
-    wrong = [(k, t, kind[int(p)]) for (k, t), p in zip(texts, pats) if kind[int(p)] != k]
+    lines = [Q.statistics(t)[1] for _, t in texts]
+    weight: dict = {}
+    for x in lines:
+        for p, w in x.items():
+            weight[p] = weight.get(p, 0) + w
+    u = np.array(sorted(weight))
+    _, means, post = Q.learn(u, np.array([weight[p] for p in sorted(weight)], dtype=float))
+    of = dict(zip(u.tolist(), post))
+    kinds = [Q.KINDS[int(sum(w * of[p] for p, w in x.items()).argmax())] for x in lines]
+    wrong = [(k, t, got, x) for (k, t), got, x in zip(texts, kinds, lines) if got != k]
     assert not wrong, wrong
-    assert (post.sum(1) == pytest.approx(1)) and ((fires > 0) & (fires < 1)).all()
+    assert (post.sum(1) == pytest.approx(1)) and ((means > 0) & (means < 1)).all()
+
+
+def test_scrambled_words_are_junk():
+    words = (PROSE + " The reviewer kept the page and the table of a quiet planner, and the rest went to the archive.").lower().replace(".", "").replace(",", "").split()
+    np.random.default_rng(5).shuffle(words)
+    assert "scrambled" in names_of(Q.statistics(" ".join(words))[1]) and "scrambled" not in names_of(Q.statistics(PROSE)[1])
+
+
+def names_of(lines):
+    return {n for p in lines for i, (n, _) in enumerate(Q.FUNCTIONS) if p >> i & 1}
 
 
 def test_statistics_of_a_known_text():
@@ -31,19 +47,25 @@ def test_statistics_of_a_known_text():
 
 def test_em_recovers_planted_accuracies():
     rnd = np.random.default_rng(3)
-    j, own = len(Q.FUNCTIONS), np.array([Q.KINDS.index(c) for _, c, _ in Q.FUNCTIONS])
-    true = np.where(own[:, None] == np.arange(4), rnd.uniform(0.6, 0.95, (j, 1)), 0.05)
-    y = rnd.choice(4, 20_000, p=[0.7, 0.12, 0.1, 0.08])
+    j, own = len(Q.FUNCTIONS), np.array([Q.KINDS.index(c) for _, c in Q.FUNCTIONS])
+    true = np.where(own[:, None] == np.arange(4), rnd.uniform(0.4, 0.7, (j, 1)), rnd.uniform(0.01, 0.1, (j, 4)))
+    y = rnd.choice(4, 40_000, p=[0.6, 0.15, 0.13, 0.12])
     pats = ((rnd.random((len(y), j)) < true[:, y].T) << np.arange(j)).sum(1)
     u, inv, n = np.unique(pats, return_inverse=True, return_counts=True)
-    prior, fires, post = Q.learn(u, n.astype(float))
-    assert np.abs(fires - true).max() < 0.12 and (post.argmax(1)[inv] == y).mean() > 0.95
+    prior, means, post = Q.learn(u, n.astype(float))
+    want = true / true.sum(1, keepdims=True)
+    assert np.abs(means - want).mean() < 0.06
+    # the posterior beats each function on its own: one that speaks whenever it fires, silence being prose
+    right = (post.argmax(1)[inv] == y).mean()
+    alone = [(np.where((pats >> i) & 1 == 1, own[i], 0) == y).mean() for i in range(j)]
+    assert right > 0.85 and right > max(alone) + 0.1, (right, max(alone))
 
 
 def test_frame(spark):
     rows = [(i, t, "x") for i, t in enumerate(t for ts in CASES.values() for t in ts)]
     got = Q.text_types(spark.createDataFrame(rows, "doc_id long, text string, kind string"))
     assert got.count() == len(rows) and set(Q.STATISTICS) < set(got.columns)
+    assert abs(got.select(sum(F.col(f"p_{k}") for k in Q.KINDS).alias("s")).agg(F.max(F.abs(F.col("s") - 1))).first()[0]) < 1e-9
     assert Q.text_types(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert Q.labelling_functions(spark.createDataFrame(rows, "doc_id long, text string, kind string")).count() == len(Q.FUNCTIONS)
     assert Q.statistics("word " * 200_000 + ".")[0][2] == 200_001
