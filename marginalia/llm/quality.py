@@ -48,7 +48,7 @@ _HEADED = re.compile(r"^\S+(?: \S+)? [—–-] \S")
 _TOC = re.compile(r"(?:\.{4,}|…{2,}|\s·\s·)\s*\d+$")
 _GAP = re.compile(r"\S(?: {2,})(?=\S)")
 _PAIR = re.compile(r"(?:^|\s)[^\s=]{1,30}=\S")
-_NUMBER = re.compile(r"^[-+$€£%]?[\d.,:%/-]*\d[\d.,:%/-]*$")
+_NUMBER = re.compile(r"(?<!\S)(?=[^\s\d]*+\d)[-+$€£%]?[\d.,:%/-]++(?!\S)")
 _TAG = re.compile(r"<[^<>]{1,300}>|&[a-z]{2,8};|&#\d+;")
 _HEX = re.compile(r"^[0-9a-f]{8}\s+(?:[0-9a-f]{2}\s+){4,}", re.I)
 _SENTENCE_END = tuple(".?!。？！…")
@@ -71,7 +71,7 @@ def _class(ch: str) -> str:
     return "L" if ch.isalpha() else "D" if ch.isdigit() else "." if ch in _ORDINARY or ch == "_" else "S"
 
 
-_WORDISH = re.compile(r"^[\"'“‘(\[*`]*(?:[^\W\d_]+(?:['’.-][^\W\d_]+)*|[\d.,%$:]+)[\"'”’)\].,;:?!*`…]*$")
+_WORDISH = re.compile(r"(?<!\S)[\"'“‘(\[*`]*+(?:[^\W\d_]++(?:['’.-][^\W\d_]++)*+|[\d.,%$:]++)[\"'”’)\].,;:?!*`…]*+(?!\S)")
 _RUN = re.compile(r"(.{1,3}?)\1{11,}")
 
 STATISTICS = (
@@ -80,8 +80,10 @@ STATISTICS = (
     "tag_share scrambled_share"
 ).split()
 SCHEMA = "doc_id long, " + ", ".join(f"{s} {'long' if s.startswith('n_') else 'double'}" for s in STATISTICS) + ", lines array<struct<pattern:int,weight:int>>"
-#: Accuracy that a function starts from.
-START = 0.85
+#: What a function starts from, and how much its silence says.
+START, SILENCE = 0.85, 0.4
+#: Texts that back a function's starting beliefs at least.
+BACKING = 10
 #: What the lines of one text weigh together.
 TEXT_WEIGHT = 1_000_000
 # An article is followed by none of the words of the second list.
@@ -89,6 +91,8 @@ _ARTICLES = frozenset("the a an".split())
 _NO_NOUN = frozenset("the a an of to in on at is are was were be been has have had and or but for with by from as that which who if than".split())
 # Last syllables of Korean particles and verb endings.
 _ENDINGS = frozenset("은는이가을를에의로도와과서고다지만면까")
+_DIGIT = re.compile(r"\d")
+_AFTER_LETTER = frozenset((")", " "))
 _EDGE = ".,;:?!\"'()[]*`“”‘’…"
 _PLAIN = re.compile(r"[\w .,:?!'\"()/‘’“”…–—%$-]*")
 
@@ -111,24 +115,29 @@ def _fields(s: str) -> tuple[int, str]:
 def line_pattern(s: str, words: list[str], ended: bool) -> int:
     """Which functions fire on one line without outer blanks."""
     out = 0
-    mark = s[0] in _MARKED and _MARK.match(s)
+    mark = (s[1:2] in _AFTER_LETTER if s[0].isalpha() else s[0] in _MARKED) and _MARK.match(s)
     if mark:
         out |= _BIT["marker"]
         words = s[mark.end() :].split() or words
     n, nw = len(s), len(words)
-    plain = [w for w in (x.strip(_EDGE) for x in s.lower().split()) if w]
-    hangul = bool(_HANGUL.search(s))
-    common = sum(map(COMMON.__contains__, plain)) + (sum(w[-1] in _ENDINGS for w in plain) * 0.4 if hangul else 0)
+    ascii_only = s.isascii()
+    hangul = not ascii_only and bool(_HANGUL.search(s))
+    common = sum(map(COMMON.__contains__, s.lower().split()))
+    if hangul:
+        common += sum(w[-1] in _ENDINGS for w in (x.strip(_EDGE) for x in words) if w) * 0.4
+    tidy = "  " not in s and "...." not in s and _PLAIN.fullmatch(s)
+    if tidy and ended and not mark and nw >= 4 and common >= max(0.8, 0.12 * nw) and s.count(", ") == s.count(",") and not _ENUM.search(s):
+        # nothing below fires on such a line
+        return _BIT["ended"] | _BIT["function_words"] | (_BIT["many_words"] if nw >= 10 else 0)
     if ended and nw >= (3 if hangul else 4):
         out |= _BIT["ended"]
     longest = max(map(len, words))
     path = (longest <= 45 or _SUFFIX.search(s)) and _PATH.match(s)
-    if "  " not in s and "...." not in s and _PLAIN.fullmatch(s):
-        figures = 0 if s.isascii() and s.isalpha() else sum(1 for w in words if _NUMBER.match(w))
+    figures = len(_NUMBER.findall(s)) if _DIGIT.search(s) else 0
+    if tidy:
         if not ended and (path or nw <= 5 and (_SETTING.match(s) or s[-1] == ":") or nw <= 9 and s[-1] == ":" or _HEADED.match(s) and nw <= 9 and common <= 2):
             out |= _BIT["entry_form"]
     else:
-        figures = sum(1 for w in words if _NUMBER.match(w))
         if _TOC.search(s) or path or not ended and (_SETTING.match(s) and nw <= 5 and s.count("=") < 2 or _HEADED.match(s) and nw <= 9 and common <= 2):
             out |= _BIT["entry_form"]
         bars = s.count("|") + s.count("│")
@@ -153,7 +162,8 @@ def line_pattern(s: str, words: list[str], ended: bool) -> int:
             out |= _BIT["delimited"]
     if nw >= 3 and figures >= 0.6 * nw or figures >= 2 and figures >= 0.4 * nw:
         out |= _BIT["figures"]
-    if len(_ENUM.findall(s)) >= 3 and nw <= 9 * len(_ENUM.findall(s)):
+    enum = len(_ENUM.findall(s))
+    if enum >= 3 and nw <= 9 * enum:
         out |= _BIT["pieces"]
     elif not ended:
         split = [x for x in _SPLIT.split(s) if x.strip()]
@@ -171,19 +181,15 @@ def line_pattern(s: str, words: list[str], ended: bool) -> int:
     elif nw <= 6 and not ended and whole and longest <= 45:
         out |= _BIT["few_words"]
     parted = out & (_BIT["delimited"] | _BIT["columns"])
-    if not parted and (longest > 45 and longest > 0.6 * n and not path and "://" not in s or nw >= 4 and not hangul and not mark and sum(1 for w in words if not _WORDISH.match(w)) > 0.45 * nw):
+    if not parted and (longest > 45 and longest > 0.6 * n and not path and "://" not in s or nw >= 4 and not hangul and not mark and not (ended and tidy) and nw - len(_WORDISH.findall(s)) > 0.45 * nw):
         out |= _BIT["no_words"]
     return out
 
 
-def scrambled_share(plain: list[str]) -> float:
+def scrambled_share(tokens: list[str]) -> float:
     """Share of the articles that a word follows which no article goes before, of three articles or more."""
-    articles = bad = 0
-    for a, b in zip(plain, plain[1:]):
-        if a in _ARTICLES:
-            articles += 1
-            bad += b in _NO_NOUN
-    return bad / articles if articles >= 3 else 0.0
+    after = [b for a, b in zip(tokens, tokens[1:]) if a in _ARTICLES]
+    return sum(map(_NO_NOUN.__contains__, after)) / len(after) if len(after) >= 3 else 0.0
 
 
 def statistics(text: str | None) -> tuple[list[float], dict[int, int]]:
@@ -201,13 +207,15 @@ def statistics(text: str | None) -> tuple[list[float], dict[int, int]]:
     n_words = ends = marks = short = 0
     fields: dict[tuple[str, int], int] = {}
     memo: dict[str, tuple[int, int, bool, tuple[int, str]]] = {}
+    parts = _BIT["delimited"] | _BIT["columns"]
     for s in bodies:
         known = memo.get(s)
         if known is None:
             words = s.split()
             last = s[-1]
             ended = last in _SENTENCE_END or last in _CLOSE and s.rstrip(_CLOSE).endswith(_SENTENCE_END)
-            known = memo[s] = (line_pattern(s, words, ended), len(words), ended, _fields(s))
+            pattern = line_pattern(s, words, ended)
+            known = memo[s] = (pattern, len(words), ended, _fields(s) if pattern & parts else (0, ""))
         pattern, nw, ended, best = known
         size[pattern] = size.get(pattern, 0) + len(s)
         n_words += nw
@@ -231,7 +239,7 @@ def statistics(text: str | None) -> tuple[list[float], dict[int, int]]:
     few = len(tokens) >= 24 and letters == seen and len(set(tokens)) <= 3 + 0.1 * min(len(tokens), 100)
     runs = sum(len(m[0]) for m in _RUN.finditer(text)) if ratio > 5 else 0
     again = bool(n >= 4 and unique <= 0.34 or few or runs > 0.5 * len(text) or len(text) >= 150 and ratio > 9 + len(text) / 1500)
-    scrambled = scrambled_share([w.strip(_EDGE) for w in tokens])
+    scrambled = scrambled_share(tokens)
     v |= {
         "n_lines": n, "n_words": n_words, "mean_word_length": seen / n_words, "words_per_line": n_words / n,
         "letter_ratio": letters / seen, "digit_ratio": digits / seen, "symbol_ratio": of["S"] / seen,
@@ -272,34 +280,36 @@ def text_statistics(documents: DataFrame) -> DataFrame:
 
 
 def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, anchor: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM of labelling functions that may stay silent: ``(prior[k], means[j, k], posterior[p, k])``.
+    """EM of labelling functions that may stay silent: ``(prior[k], fires[j, k], posterior[p, k])``.
 
-    ``means`` is what a function's firing speaks for: its rates under the types, in shares; the share of its own
-    type is its accuracy on equally frequent types.  ``anchor`` is the share of the corpus' size that backs the starting beliefs (a function speaks
-    for its own type), which keeps the classes from trading names.  What is learned stands as learned:
-    a function may turn out to speak for another type.
+    ``counts`` are in units of ``TEXT_WEIGHT``.  ``fires`` is how often a function fires under each type.  Functions are silent together (a line cut into
+    fields leaves few to speak), so silence counts with the power ``SILENCE`` of its likelihood.  ``anchor`` is
+    the share of the corpus' size (at least ``BACKING`` texts) that backs the starting beliefs (a function speaks
+    for its own type), which keeps the classes from trading names.  What is learned stands as learned: a function may turn out to
+    speak for another type.
     """
     j, k = len(FUNCTIONS), len(KINDS)
     fired = ((patterns[:, None] >> np.arange(j)) & 1).astype(float)
     own = np.array([KINDS.index(c) for _, c in FUNCTIONS])
     belief = np.where(own[:, None] == np.arange(k), START, (1 - START) / (k - 1))
     weight = counts / counts.sum()
-    prior, means = np.full(k, 1 / k), belief
+    anchor = max(anchor, BACKING * TEXT_WEIGHT / counts.sum())
+    prior, fires = np.full(k, 1 / k), belief
     post = np.zeros((len(patterns), k))
-    for _ in range(rounds):
-        # a function that is silent says nothing
-        logp = np.log(prior) + fired @ np.log(means)
+    for turn in range(rounds):
+        logp = np.log(prior) + fired @ np.log(fires)
+        if turn:  # nothing is known of silence yet
+            logp += SILENCE * ((1 - fired) @ np.log(1 - fires))
         post = np.exp(logp - logp.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         mass = post * weight[:, None]
         size = mass.sum(0)
-        rate = (fired.T @ mass + anchor * belief) / (size + anchor)
-        new = rate / rate.sum(1, keepdims=True)
-        step = np.abs(new - means).max()
-        prior, means = (size + anchor) / (1 + k * anchor), new
+        new = np.clip((fired.T @ mass + anchor * belief) / (size + anchor), 1e-4, 1 - 1e-4)
+        step = np.abs(new - fires).max()
+        prior, fires = (size + anchor) / (1 + k * anchor), new
         if step < 1e-6:
             break
-    return prior, means, post
+    return prior, fires, post
 
 
 def _learned(stats: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
