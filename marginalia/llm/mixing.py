@@ -26,6 +26,8 @@ from marginalia.runtime import cut
 BLOCK_TOKENS = 256
 DOCS_PER_SHARD = 20_000
 SEED = 20260301
+#: Divisors tried in a pass, and passes: 64^7 is 2^42.
+WAYS, PASSES = 64, 7
 
 
 def source_name(c: Column) -> Column:
@@ -35,19 +37,27 @@ def source_name(c: Column) -> Column:
 def sainte_lague(weights: dict, blocks: int, caps: dict | None = None) -> dict:
     """Blocks per key by highest quotients; ``caps`` bound what a key can take.  Ties go to the least key.
 
-    Whole seats that every divisor gives are dealt at once, so the work is in the number of keys, not
-    of blocks.
+    All quotients of at least some divisor are dealt at once: the divisor is found by bisection, so that
+    what is left to deal one by one is at most a block per key or so.
     """
     caps = caps or {}
     live = {k: Fraction(w).limit_denominator(10**12) for k, w in weights.items() if w > 0}
     seats = dict.fromkeys(weights, 0)
-    room = {k: caps.get(k, blocks) for k in live}
-    left = min(blocks, sum(max(0, r) for r in room.values()))
-    whole = sum(live.values())
-    if whole:
-        # a key's quota less one is safe to deal before comparing quotients
-        for k, w in live.items():
-            seats[k] = max(0, min(room[k], math.floor(w / whole * left) - 1))
+    room = {k: max(0, caps.get(k, blocks)) for k in live}
+    left = min(blocks, sum(room.values()))
+    if left <= 0:
+        return seats
+
+    def dealt(divisor: Fraction) -> dict:
+        return {k: min(room[k], math.floor((w / divisor + 1) / 2)) for k, w in live.items()}
+
+    low, high = 0.0, float(max(live.values())) * 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        if mid in (low, high):
+            break
+        low, high = (mid, high) if sum(dealt(Fraction(mid)).values()) > left else (low, mid)
+    seats |= dealt(Fraction(high))
     left -= sum(seats.values())
     heap = [(-w / (2 * seats[k] + 1), k) for k, w in live.items() if seats[k] < room[k]]
     heapq.heapify(heap)
@@ -60,6 +70,40 @@ def sainte_lague(weights: dict, blocks: int, caps: dict | None = None) -> dict:
     return seats
 
 
+def shard_quotas(shards: DataFrame, quotas: DataFrame, block: int) -> DataFrame:
+    """``mix_name, source, shard, quota, most, held``: each source's blocks dealt to its shards by highest quotients.
+
+    ``shards``: ``source, shard, held`` (tokens); ``quotas``: ``mix_name, source, blocks, most`` (a row per target).  The divisor of
+    each row is narrowed ``WAYS`` ways a pass by sums over all shards, so no shard is collected; the
+    quotients within the last interval are dealt by rank.
+    """
+    cap = F.ceil(F.col("held") * F.col("most") / F.lit(block))
+    each = cut(shards.where("held > 0").join(F.broadcast(quotas), "source").withColumn("cap", cap))  # a row per target
+    dealt = lambda d: F.least(F.col("cap"), F.floor((F.col("held") / d + 1) / 2))
+    keys = ["mix_name", "source"]
+    low, high = F.lit(0.0), F.max("held") * 2.0
+    spans = {(r["mix_name"], r["source"]): (r["low"], r["high"], r["blocks"]) for r in each.groupBy(*keys).agg(low.alias("low"), high.alias("high"), F.first("blocks").alias("blocks")).collect()}  # a row per target
+    schema = "mix_name string, source string, low double, high double"
+    for _ in range(PASSES):
+        rows = [(*k, lo, hi) for k, (lo, hi, _) in spans.items()]
+        at = lambda i: F.col("low") + (F.col("high") - F.col("low")) * (i / WAYS)
+        j = each.join(F.broadcast(shards.sparkSession.createDataFrame(rows, schema)), keys)  # a row per target
+        for r in j.groupBy(*keys).agg(F.first("low").alias("low"), F.first("high").alias("high"), *[F.sum(dealt(at(i))).alias(f"n{i}") for i in range(1, WAYS)]).collect():
+            lo, hi, blocks = spans[r["mix_name"], r["source"]]
+            cuts = [(lo + (hi - lo) * (i / WAYS), r[f"n{i}"]) for i in range(1, WAYS)]
+            above, below = [d for d, n in cuts if n <= blocks], [d for d, n in cuts if n > blocks]
+            spans[r["mix_name"], r["source"]] = (max(below, default=lo), min(above, default=hi), blocks)
+    rows = [(*k, lo, hi) for k, (lo, hi, _) in spans.items()]
+    j = each.join(F.broadcast(shards.sparkSession.createDataFrame(rows, schema)), keys)  # a row per target
+    j = j.withColumn("n", dealt(F.col("high"))).withColumn("more", F.when(F.col("low") > 0, dealt(F.col("low"))).otherwise(F.col("cap")))
+    near = j.where("more > n").withColumn("k", F.explode(F.sequence(F.col("n"), F.col("more") - 1)))
+    total = j.groupBy(*keys).agg((F.first("blocks") - F.sum("n")).alias("left"))
+    order = Window.partitionBy(*keys).orderBy((F.col("held") / (2 * F.col("k") + 1)).desc(), "shard")
+    extra = near.withColumn("r", F.row_number().over(order)).join(F.broadcast(total), keys).where("r <= left").groupBy(*keys, "shard").agg(F.count("*").alias("extra"))  # a row per target
+    q = j.join(extra, [*keys, "shard"], "left").withColumn("q", F.col("n") + F.coalesce("extra", F.lit(0)))
+    return q.where("q > 0").select(*keys, "shard", F.least(F.col("q") * block, F.col("held") * F.col("most")).cast("long").alias("quota"), "most", "held")
+
+
 def _targets(mix_target: DataFrame) -> list[dict]:
     rows = mix_target.where("mix_name is not null and source is not null and target_share > 0").select(
         "mix_name", source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("most")
@@ -67,23 +111,19 @@ def _targets(mix_target: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows.groupBy("mix_name", "source").agg(F.sum("share").alias("share"), F.max("most").alias("most")).orderBy("mix_name", "source").collect()]  # a fixed few
 
 
-def _quotas(targets: list[dict], shards: dict[str, dict[int, int]], total_tokens: int | None, block: int) -> list[tuple[str, str, int, int, int]]:
-    """(mix, source, shard, quota in tokens, max repeats)."""
+def _quotas(targets: list[dict], tokens: dict[str, int], total_tokens: int | None, block: int) -> list[tuple[str, str, int, int]]:
+    """(mix, source, blocks, max repeats)."""
     out = []
     for mix in sorted({t["mix_name"] for t in targets}):
         own = {t["source"]: t for t in targets if t["mix_name"] == mix}
-        tokens = {s: sum(shards.get(s, {}).values()) for s in own}
-        alive = {s: own[s]["share"] for s in own if tokens[s] > 0}
+        alive = {s: own[s]["share"] for s in own if tokens.get(s, 0) > 0}
         if not alive:
             continue
         whole = sum(alive.values())
         reach = min(tokens[s] * own[s]["most"] * whole / alive[s] for s in alive)
         blocks = max(1, int((total_tokens if total_tokens is not None else reach) // block))
-        caps = {s: tokens[s] * own[s]["most"] // block for s in alive}
-        for s, n in sainte_lague(alive, blocks, caps).items():
-            part = {k: v for k, v in shards[s].items() if v > 0}
-            split = sainte_lague(part, n, {k: v * own[s]["most"] // block for k, v in part.items()})
-            out += [(mix, s, k, q * block, own[s]["most"]) for k, q in split.items() if q]
+        caps = {s: -(-tokens[s] * own[s]["most"] // block) for s in alive}  # the last block may be a part
+        out += [(mix, s, n, own[s]["most"]) for s, n in sainte_lague(alive, blocks, caps).items() if n]
     return out
 
 
@@ -91,7 +131,7 @@ def mix(sized: DataFrame, mix_target: DataFrame, total_tokens: int | None = None
     """``mix_name, source, doc_id, n_tokens, copies`` from ``sized`` (``doc_id, source, n_tokens``).
 
     A source has one shard per ``docs_per_shard`` documents, so a shard's ordering is a bounded task
-    however large a source is.  The driver holds shard totals only (documents / docs_per_shard rows).
+    however large a source is.  The driver holds a row per target only; shards' quotas are found in SQL.
     """
     spark = sized.sparkSession
     schema = "mix_name string, source string, doc_id long, n_tokens long, copies long"
@@ -99,20 +139,16 @@ def mix(sized: DataFrame, mix_target: DataFrame, total_tokens: int | None = None
     names = sorted({t["source"] for t in targets})
     docs = sized.select("doc_id", source_name(F.col("source")).alias("source"), "n_tokens").where("doc_id is not null and n_tokens > 0").where(F.col("source").isin(names))
     docs = cut(docs)
-    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["source"]: (r["n"], int(r["t"])) for r in docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}  # a row per target
     if not sizes:
         return spark.createDataFrame([], schema)
-    n_shards = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(-(-n // docs_per_shard)))])
+    n_shards = F.create_map(*[x for s, (n, _) in sizes.items() for x in (F.lit(s), F.lit(-(-n // docs_per_shard)))])
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_shards[F.col("source")]).cast("int"))
-    shards: dict[str, dict[int, int]] = {}
-    for r in docs.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect():
-        shards.setdefault(r["source"], {})[r["shard"]] = int(r["t"])
-    rows = [(m, s, k, q, most, shards[s][k]) for m, s, k, q, most in _quotas(targets, shards, total_tokens, block)]
+    rows = _quotas(targets, {s: t for s, (_, t) in sizes.items()}, total_tokens, block)
     if not rows:
         return spark.createDataFrame([], schema)
-    quota = spark.createDataFrame(rows, "mix_name string, source string, shard int, quota long, most int, held long")
-    if len(rows) <= 100_000:
-        quota = F.broadcast(quota)
+    shards = docs.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held"))
+    quota = shard_quotas(shards, spark.createDataFrame(rows, "mix_name string, source string, blocks long, most int"), block)
     j = docs.join(quota, ["source", "shard"])
     order = Window.partitionBy("mix_name", "source", "shard").orderBy(F.xxhash64("doc_id", "mix_name", F.lit(seed)), "doc_id")
     upto = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))

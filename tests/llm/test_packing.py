@@ -1,5 +1,6 @@
 import os
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -73,6 +74,36 @@ def test_sainte_lague_against_the_plain_rule():
         assert uncapped == plain
 
 
+def plain_rule(w, n, caps):
+    seats = dict.fromkeys(w, 0)
+    for _ in range(n):
+        open_ = [k for k in w if seats[k] < caps.get(k, n)]
+        if not open_:
+            break
+        k = max(open_, key=lambda k: (Fraction(w[k]) / (2 * seats[k] + 1), -k))
+        seats[k] += 1
+    return seats
+
+
+def test_sainte_lague_of_many_keys():
+    for small, n in (([0.5] * 1000, 1600), ([0.625] * 12, 500), ([1, 2, 3] * 40, 777)):
+        w = {i: x for i, x in enumerate([1000, *small])}
+        for caps in ({}, {0: 300, 5: 0}):
+            assert mixing.sainte_lague(w, n, caps) == plain_rule(w, n, caps)
+
+
+def test_shard_quotas_against_the_plain_rule(spark):
+    rnd = random.Random(6)
+    held = {(s, k): rnd.choice([300, 300, rnd.randrange(1, 9000)]) for s in "ab" for k in range(60)} | {("a", 99): 0}
+    shards = spark.createDataFrame([(s, k, t) for (s, k), t in held.items()], "source string, shard int, held long")
+    quotas = [("m", "a", 400, 1), ("m", "b", 5000, 2), ("n", "a", 90_000, 1), ("n", "b", 1, 3)]
+    got = {(r["mix_name"], r["source"], r["shard"]): r["quota"] for r in mixing.shard_quotas(shards, spark.createDataFrame(quotas, "mix_name string, source string, blocks long, most int"), 256).collect()}
+    for m, s, blocks, most in quotas:
+        w = {k: t for (x, k), t in held.items() if x == s and t}
+        want = plain_rule(w, min(blocks, 3000), {k: -(-t * most // 256) for k, t in w.items()})
+        assert {k: min(n * 256, w[k] * most) for k, n in want.items() if n} == {k: q for (x, y, k), q in got.items() if (x, y) == (m, s)}
+
+
 def test_mix_reaches_its_shares(spark):
     rnd = random.Random(9)
     rows = [(i, rnd.choice(["Big_Source", "big source ", "big-source", "small"] if i % 10 else ["tiny"]), rnd.choice([None, "x"]), rnd.randrange(0, 300)) for i in range(4000)]
