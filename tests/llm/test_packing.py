@@ -128,3 +128,13 @@ def test_token_counts(spark):
     for i, t in enumerate(texts[2:], 2):
         ids = enc.encode_ordinary(t)
         assert got[i] == len(ids) and enc.decode(ids) == t
+
+
+def test_least_squares_places_most_windows():
+    rnd = np.random.default_rng(4)
+    for capacity, mean in ((400, 90), (2000, 300), (500, 2)):
+        sizes, n = np.unique(np.clip(rnd.lognormal(np.log(mean), 0.8, 20_000).astype(int), 1, capacity), return_counts=True)
+        h = dict(zip(sizes.tolist(), n.tolist()))
+        p = packing.plan_windows(h, capacity)
+        tokens_ = sum(k * v for k, v in h.items())
+        assert p.solved * capacity > 0.9 * tokens_ and p.windows <= 1.005 * tokens_ / capacity + 1
