@@ -1,10 +1,12 @@
 """Deeply nested session records as related flat tables.
 
-Each JSON body is parsed once.  A node goes to a typed table by the key it stands under (turns, calls,
-originals, excerpts, images, error, moreMatches); its *shape* is a label told from an object's own keys, or for
-a list from the labels of all its elements, and routes nothing but turns and excerpts that stand without a list.
-All tables keep the common supertype keys (record, turn, kind) and the number of the node that holds them.  Reading order numbers the calls of a turn from 1 and the
-excerpts of a call from 1 over all of its pages.
+Each JSON body is parsed once and read by a *tree automaton* from its leaves up: the state of a node
+follows from the states of its children and the keys they stand under (``TRANSITIONS``), the state of a
+list from those of all its elements.  The state routes a node to its typed table (turns, calls,
+excerpts, originals, images, further matches, errors).  Where a writer uses none of the usual keys for a role, the child
+whose state fits the role takes it, so renamed keys are routed by structure.  All tables keep the
+common supertype keys (record, turn, kind) and the number of the node that holds them.  Reading order
+numbers the calls of a turn from 1 and the excerpts of a call from 1 over all of its pages.
 
 Defined results: bodies that are null or no whole JSON text give no rows; repeated deliveries of a
 record count once (the first whole body by ``received_at``); lists that hold one object may be that
@@ -62,61 +64,141 @@ def _opened(x: Any) -> Any:
     return inner if isinstance(inner, (dict, list)) else x
 
 
-def _many(x: Any) -> list[Any]:
-    """A list, a single thing in place of a list, or nothing."""
-    x = _opened(x)
-    if isinstance(x, list):
-        return x
-    return [x] if isinstance(x, (dict, str)) and x else []
-
-
-# A node is of a shape when it has one of the key sets.
-_SHAPES: list[tuple[str, tuple[frozenset[str], ...]]] = [
-    ("envelope", (frozenset({"run"}),)),
-    ("session", (frozenset({"turns"}),)),
-    ("call", (frozenset({"function"}), frozenset({"id", "result"}), frozenset({"id", "error"}), frozenset({"followUps"}), frozenset({"id", "name"}), frozenset({"id", "arguments"}))),
-    ("excerpt", (frozenset({"text", "sourceMap"}), frozenset({"sourceMap"}))),
-    ("paged_result", (frozenset({"pages"}),)),
-    ("excerpt_result", (frozenset({"excerpts"}),)),
-    ("image_result", (frozenset({"images"}),)),
-    ("original", (frozenset({"artifactId"}), frozenset({"artifact_id"}))),
-    ("turn", (frozenset({"question"}), frozenset({"answer"}), frozenset({"type", "gold"}))),
+SCALARS = frozenset({"null", "str", "int", "float", "bool"})
+_RESULTS = frozenset({"excerpt_result", "image_result", "paged_result"})
+_CALLS, _ORIGINALS = frozenset({"call", "list<call>"}), frozenset({"original", "list<original>"})
+
+#: (state, keys that must be there and whether their children must hold something, states of which a child must be
+#: in one).  The first transition that fits gives the state; keys are those of the usual writers, children's states
+#: tell the same things under other keys.
+TRANSITIONS: list[tuple[str, dict[str, bool], frozenset[str]]] = [
+    ("session", {"turns": True}, frozenset()),
+    ("session", {}, frozenset({"list<turn>", "map<turn>"})),
+    ("envelope", {"run": True}, frozenset()),
+    ("envelope", {}, frozenset({"session", "envelope", "list<session>", "list<envelope>"})),
+    ("call", {"function": False}, frozenset()),
+    ("call", {"id": False, "result": False}, frozenset()),
+    ("call", {"id": False, "error": False}, frozenset()),
+    ("call", {"followUps": False}, frozenset()),
+    ("call", {"id": False, "name": False}, frozenset()),
+    ("call", {"id": False, "arguments": False}, frozenset()),
+    ("call", {}, _RESULTS | {"function"}),
+    ("excerpt", {"sourceMap": False}, frozenset()),
+    ("excerpt", {}, frozenset({"source_map"})),
+    ("paged_result", {"pages": False}, frozenset()),
+    ("paged_result", {}, frozenset({"list<excerpt_result>"})),
+    ("excerpt_result", {"excerpts": False}, frozenset()),
+    ("excerpt_result", {}, frozenset({"list<excerpt>"})),
+    ("image_result", {"images": False}, frozenset()),
+    ("turn", {"question": False}, frozenset()),
+    ("turn", {"answer": False}, frozenset()),
+    ("turn", {"type": False, "gold": False}, frozenset()),
+    ("turn", {}, _CALLS | _ORIGINALS),
+    ("original", {"artifactId": False}, frozenset()),
+    ("original", {"artifact_id": False}, frozenset()),
+    ("source_map", {"path": False, "startLine": False}, frozenset()),
+    ("source_map", {"path": False, "endLine": False}, frozenset()),
+    ("function", {"name": False, "arguments": False}, frozenset()),
 ]
 
 
+def transition(children: dict[str, str]) -> str:
+    """State of an object from its children's states by key."""
+    states = frozenset(children.values())
+    for state, keys, some in TRANSITIONS:
+        if keys.keys() <= children.keys() and all(not held or children[k] not in SCALARS for k, held in keys.items()) and (not some or some & states):
+            return state
+    return "map<turn>" if states == {"turn"} else "object"
+
+
+def list_state(elements: set[str]) -> str:
+    """State of a list from those of all its elements; null elements say nothing."""
+    known = elements - {"null"}
+    return "list<" + (known.pop() if len(known) == 1 else "mixed" if known else "") + ">"
+
+
+def _scalar(x: Any) -> str:
+    return "null" if x is None else type(x).__name__
+
+
+class Tree:
+    """A parsed body with the state of each of its objects and lists, JSON in strings included."""
+
+    def __init__(self, root: Any) -> None:
+        self._opened: dict[str, Any] = {}
+        self._states: dict[int, str] = {}
+        self._known: dict[tuple, str] = {}
+        self.root = self.open(root)
+        stack = [(self.root, False)]
+        while stack:
+            node, seen = stack.pop()
+            if not isinstance(node, (dict, list)):
+                continue
+            if seen:
+                self._states[id(node)] = self._settle(node)
+                continue
+            stack.append((node, True))
+            stack.extend((c, False) for c in map(self.open, node.values() if isinstance(node, dict) else node) if isinstance(c, (dict, list)))
+
+    def _settle(self, node: Any) -> str:
+        if isinstance(node, list):
+            return list_state({self.state(x) for x in node})
+        key = tuple((k, self.state(v)) for k, v in node.items())
+        if key not in self._known:
+            self._known[key] = transition(dict(key))
+        return self._known[key]
+
+    def open(self, x: Any) -> Any:
+        """What a string that holds JSON holds, the same object each time."""
+        if not isinstance(x, str) or x.lstrip()[:1] not in ("[", "{", '"'):
+            return x
+        if x not in self._opened:
+            self._opened[x] = _opened(x)
+        return self._opened[x]
+
+    def state(self, x: Any) -> str:
+        x = self.open(x)
+        return self._states[id(x)] if isinstance(x, (dict, list)) else _scalar(x)
+
+    def many(self, x: Any) -> list[Any]:
+        """A list, a single thing in place of a list, or nothing."""
+        x = self.open(x)
+        if isinstance(x, list):
+            return x
+        return [x] if isinstance(x, (dict, str)) and x else []
+
+    def child(self, node: dict[str, Any], key: str, states: frozenset[str], but: tuple[str, ...] = ()) -> Any:
+        """What stands under ``key``, else the first child in one of ``states``."""
+        if key in node:
+            return node[key]
+        return next((v for k, v in node.items() if k not in but and self.state(v) in states), None)
+
+
 def shape(node: Any) -> str:
-    """Label of a node: its class of object, or the kind of scalar or list it is."""
-    if isinstance(node, dict):
-        keys = node.keys()
-        for state, options in _SHAPES:
-            if any(o <= keys for o in options):
-                return state
-        return "object"
-    if isinstance(node, list):
-        states = {shape(x) for x in node}
-        return "list<" + (states.pop() if len(states) == 1 else "mixed" if states else "") + ">"
-    return "null" if node is None else type(node).__name__
-
-
-def _session(node: Any) -> dict[str, Any] | None:
-    """The object that has the turns, inside of any envelopes; one with a mere count of turns only without another."""
-    queue, counts = deque([_opened(node)]), None
+    """State of a node's tree."""
+    return Tree(node).state(node)
+
+
+def _session(tree: Tree) -> dict[str, Any] | None:
+    """The object in the state of a session, inside of any envelopes; one with a mere count of turns only without another."""
+    queue, counts = deque([tree.root]), None
     while queue:  # breadth first; the parsed body is finite, and so are the layers of its strings
         x = queue.popleft()
-        if isinstance(x, dict) and TURNS in x:
-            if isinstance(_opened(x[TURNS]), (dict, list)):
+        if isinstance(x, dict):
+            if tree.state(x) == "session":
                 return x
-            counts = counts or x
+            if TURNS in x:
+                counts = counts or x
         if isinstance(x, (dict, list)):
-            queue.extend(o for v in (x.values() if isinstance(x, dict) else x) if isinstance(o := _opened(v), (dict, list)))
+            queue.extend(o for v in (x.values() if isinstance(x, dict) else x) if isinstance(o := tree.open(v), (dict, list)))
     return counts
 
 
-def _turns(session: dict[str, Any]) -> Iterator[tuple[int, dict[str, Any]]]:
-    turns = _opened(session.get(TURNS))
-    pairs = turns.items() if isinstance(turns, dict) and shape(turns) != "turn" else enumerate(_many(turns), 1)
+def _turns(tree: Tree, session: dict[str, Any]) -> Iterator[tuple[int, dict[str, Any]]]:
+    turns = tree.open(tree.child(session, TURNS, frozenset({"list<turn>", "map<turn>"})))
+    pairs = turns.items() if isinstance(turns, dict) and tree.state(turns) != "turn" else enumerate(tree.many(turns), 1)
     for key, t in pairs:
-        t = _opened(t)
+        t = tree.open(t)
         if not isinstance(t, dict):
             continue
         no = t.get("turn", key)
@@ -126,36 +208,37 @@ def _turns(session: dict[str, Any]) -> Iterator[tuple[int, dict[str, Any]]]:
             continue
 
 
-def _excerpts(result: Any) -> Iterator[Any]:
+def _excerpts(tree: Tree, result: Any) -> Iterator[Any]:
     """Excerpts of a call's result in reading order, those of its pages included."""
-    result = _opened(result)
+    result = tree.open(result)
     if isinstance(result, list):
         for r in result:
-            yield from _excerpts(r) if shape(r) != "excerpt" else [r]
+            yield from _excerpts(tree, r) if tree.state(r) != "excerpt" else [tree.open(r)]
         return
     if not isinstance(result, dict):
         return
-    if shape(result) == "excerpt":
+    if tree.state(result) == "excerpt":
         yield result
         return
+    own, paged = "excerpts" in result, "pages" in result
     for key, v in result.items():
-        if key == "excerpts":
-            yield from (x for x in map(_opened, _many(v)) if isinstance(x, (dict, str)))
-        elif key == "pages":
-            for page in _many(v):
-                yield from _excerpts(page)
+        if key == "excerpts" or not own and tree.state(v) == "list<excerpt>":
+            yield from (x for x in map(tree.open, tree.many(v)) if isinstance(x, (dict, str)))
+        elif key == "pages" or not paged and tree.state(v) == "list<excerpt_result>":
+            for page in tree.many(v):
+                yield from _excerpts(tree, page)
 
 
-def _results(result: Any) -> Iterator[dict[str, Any]]:
+def _results(tree: Tree, result: Any) -> Iterator[dict[str, Any]]:
     """The objects of a call's result, its pages included."""
-    result = _opened(result)
+    result = tree.open(result)
     if isinstance(result, list):
         for r in result:
-            yield from _results(r)
-    elif isinstance(result, dict) and shape(result) != "excerpt":
+            yield from _results(tree, r)
+    elif isinstance(result, dict) and tree.state(result) != "excerpt":
         yield result
-        for page in _many(result.get("pages")):
-            yield from _results(page)
+        for page in tree.many(tree.child(result, "pages", frozenset({"list<excerpt_result>"}))):
+            yield from _results(tree, page)
 
 
 def _int(x: Any) -> int | None:
@@ -169,17 +252,17 @@ def _text(x: Any) -> str | None:
     return s.encode("utf-8", "replace").decode("utf-8")
 
 
-def _variants(result: Any, error: Any) -> Iterator[dict[str, Any]]:
+def _variants(tree: Tree, result: Any, error: Any) -> Iterator[dict[str, Any]]:
     """Images, further matches and errors of a call."""
-    parts = list(_results(result))
-    images = [x for r in parts for x in map(_opened, _many(r.get("images"))) if isinstance(x, (dict, str)) and x]
+    parts = list(_results(tree, result))
+    images = [x for r in parts for x in map(tree.open, tree.many(r.get("images"))) if isinstance(x, (dict, str)) and x]
     for k, x in enumerate(images, 1):
-        yield {"kind": "image", "item_no": k} | ({"shape": shape(x), "artifact_id": _text(x.get("artifactId", x.get("artifact_id"))), "width": _int(x.get("width")), "height": _int(x.get("height")), "region": _text(_opened(x.get("region"))), "other": _rest(x, {"artifactId", "artifact_id", "width", "height", "region"})} if isinstance(x, dict) else {"shape": "id", "artifact_id": _text(x)})
-    for k, x in enumerate((x for r in parts if isinstance(x := _opened(r.get("moreMatches")), dict)), 1):
-        yield {"kind": "more_matches", "item_no": k, "shape": shape(x), "match_count": _int(x.get("count")), "match_lines": _text(_opened(x.get("lines"))), "other": _rest(x, {"count", "lines"})}
-    for k, x in enumerate((x for x in map(_opened, _many(error)) if x), 1):
+        yield {"kind": "image", "item_no": k} | ({"shape": tree.state(x), "artifact_id": _text(x.get("artifactId", x.get("artifact_id"))), "width": _int(x.get("width")), "height": _int(x.get("height")), "region": _text(tree.open(x.get("region"))), "other": _rest(x, {"artifactId", "artifact_id", "width", "height", "region"})} if isinstance(x, dict) else {"shape": "id", "artifact_id": _text(x)})
+    for k, x in enumerate((x for r in parts if isinstance(x := tree.open(r.get("moreMatches")), dict)), 1):
+        yield {"kind": "more_matches", "item_no": k, "shape": tree.state(x), "match_count": _int(x.get("count")), "match_lines": _text(tree.open(x.get("lines"))), "other": _rest(x, {"count", "lines"})}
+    for k, x in enumerate((x for x in map(tree.open, tree.many(error)) if x), 1):
         own = isinstance(x, dict)
-        yield {"kind": "error", "item_no": k, "shape": shape(x), "error_code": _text(x.get("code") if own else x), "details": _text(_opened(x.get("details"))) if own else None, "other": _rest(x, {"code", "details"}) if own else None}
+        yield {"kind": "error", "item_no": k, "shape": tree.state(x), "error_code": _text(x.get("code") if own else x), "details": _text(tree.open(x.get("details"))) if own else None, "other": _rest(x, {"code", "details"}) if own else None}
 
 
 _TURN_KEYS = {"turn", "type", "question", "answer", "gold", "summary", "autoOriginal", "thresholdExceeded", "compactedAfter", CALLS, ORIGINALS}
@@ -191,19 +274,20 @@ def _rest(x: dict[str, Any], known: set[str]) -> str | None:
 
 
 def _rows(record_id: int, body: str | None, every: bool = False) -> Iterator[dict[str, Any]]:
-    session = _session(parse(body))
+    tree = Tree(parse(body))
+    session = _session(tree)
     if session is None:
         return
-    for turn, t in _turns(session):
+    for turn, t in _turns(tree, session):
         base = {"record_id": record_id, "turn": turn}
         yield base | {"kind": "turn", "parent_no": 0, "item_no": turn, "shape": "turn", "name": _text(t.get("type")), "question": _text(t.get("question")), "answer": _text(t.get("answer"))} | {
             "gold": _text(t.get("gold")), "summary": _text(t.get("summary")), "auto_original": _text(t.get("autoOriginal")), "threshold_exceeded": _text(t.get("thresholdExceeded")), "compacted_after": _text(t.get("compactedAfter")), "other": _rest(t, _TURN_KEYS),
         }
         no = 0
-        stack = [(c, 0) for c in reversed(_many(t.get(CALLS)))]
+        stack = [(c, 0) for c in reversed(tree.many(tree.child(t, CALLS, _CALLS)))]
         while stack:
             call, parent = stack.pop()
-            call = _opened(call)
+            call = tree.open(call)
             if not isinstance(call, dict) and not (isinstance(call, str) and call):
                 continue
             no += 1
@@ -211,17 +295,18 @@ def _rows(record_id: int, body: str | None, every: bool = False) -> Iterator[dic
             if isinstance(call, str):
                 yield base | {"kind": "tool_call", "parent_no": parent, "item_no": own, "shape": "id", "id": _text(call)}
                 continue
-            f = call.get("function") if isinstance(call.get("function"), dict) else call
-            result, error = _opened(call.get("result")), call.get("error")
+            f = tree.child(call, "function", frozenset({"function"}))
+            f = f if isinstance(f, dict) else call
+            result, error = tree.open(tree.child(call, "result", _RESULTS | {"list<excerpt>", "excerpt"})), call.get("error")
             yield base | {
                 "kind": "tool_call", "parent_no": parent, "item_no": own,
-                "shape": "call:" + (shape(result) if result is not None else "error" if error else "open"),
-                "id": _text(call.get("id")), "name": _text(f.get("name")), "arguments": _text(_opened(f.get("arguments"))),
+                "shape": "call:" + (tree.state(result) if result is not None else "error" if error else "open"),
+                "id": _text(call.get("id")), "name": _text(f.get("name")), "arguments": _text(tree.open(f.get("arguments"))),
                 "error_code": _text(error.get("code")) if isinstance(error, dict) else _text(error),
                 "fallback_reason": _text(result.get("fallbackReason")) if isinstance(result, dict) else None,
             }
-            for k, x in enumerate(_excerpts(result), 1):
-                row = base | {"kind": "excerpt", "parent_no": own, "item_no": k, "shape": shape(x)}
+            for k, x in enumerate(_excerpts(tree, result), 1):
+                row = base | {"kind": "excerpt", "parent_no": own, "item_no": k, "shape": tree.state(x)}
                 if isinstance(x, dict):
                     m = x.get("sourceMap") if isinstance(x.get("sourceMap"), dict) else {}
                     score = x.get("score")
@@ -230,10 +315,10 @@ def _rows(record_id: int, body: str | None, every: bool = False) -> Iterator[dic
                     row |= {"text": _text(x)}
                 yield row
             if every:
-                yield from (base | {"parent_no": own} | x for x in _variants(result, error))
-            stack += [(c, own) for c in reversed(_many(call.get(FOLLOW_UPS)))]
-        for k, o in enumerate((x for x in map(_opened, _many(t.get(ORIGINALS))) if isinstance(x, (dict, str)) and x), 1):
-            row = base | {"kind": "original", "parent_no": 0, "item_no": k, "shape": shape(o) if isinstance(o, dict) else "id"}
+                yield from (base | {"parent_no": own} | x for x in _variants(tree, result, error))
+            stack += [(c, own) for c in reversed(tree.many(tree.child(call, FOLLOW_UPS, _CALLS)))]
+        for k, o in enumerate((x for x in map(tree.open, tree.many(tree.child(t, ORIGINALS, _ORIGINALS, (CALLS,)))) if isinstance(x, (dict, str)) and x), 1):
+            row = base | {"kind": "original", "parent_no": 0, "item_no": k, "shape": tree.state(o) if isinstance(o, dict) else "id"}
             if isinstance(o, dict):
                 row |= {"artifact_id": _text(o.get("artifactId", o.get("artifact_id"))), "width": _int(o.get("width")), "height": _int(o.get("height")), "reason": _text(o.get("reason"))}
             else:
@@ -252,7 +337,7 @@ def whole_records(records: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kept = pdf[[_session(parse(b)) is not None for b in pdf["body"]]]
+            kept = pdf[[_session(Tree(parse(b))) is not None for b in pdf["body"]]]
             if len(kept):  # Arrow has no type for an empty frame's columns
                 yield kept
 

@@ -76,3 +76,19 @@ def test_turn_fields_and_variants_are_kept(spark):
     assert [r[2:] for r in nested.images_table(n).orderBy("image_no").collect()] == [(1, 1, "object", None, 9, 8, '{"x": 0}', None), (1, 2, "object", None, 7, 6, None, None)]
     assert nested.more_matches_table(n).first()[2:] == (2, 1, 3, "[5, 2]", None) and nested.errors_table(n).first()[2:] == (3, 1, "object", "denied", '[{"message": "m"}]', None)
     assert [r["shape"] for r in nested.calls_table(n).where("call_no = 4").collect()] == ["call:list<mixed>"] and nested.flatten(df).where("kind in ('image', 'error', 'more_matches')").count() == 0
+
+
+def test_states_come_from_children():
+    assert nested.shape({"turns": 5}) == "object" and nested.shape({"turns": []}) == "session"
+    assert nested.shape([1] * 64 + ["a"]) == "list<mixed>" and nested.shape([ex("a"), None]) == "list<excerpt>"
+    assert nested.shape({"x": {"y": {"turns": [{"question": "q"}]}}}) == "envelope"
+
+
+def test_a_writer_with_other_keys_is_routed_by_structure(spark):
+    piece = {"words": "a", "where": {"path": "p", "startLine": 1}}
+    inner = {"tool": "open", "gave": {"found": [piece, piece]}}
+    outer = {"tool": "look", "gave": {"sheets": [{"found": [piece]}, {"found": [piece]}]}, "then": [inner]}
+    body = {"log": {"steps": [{"turn": 4, "ask": "q", "used": [outer], "wanted": [{"artifactId": "x", "width": 3}]}, {"turn": 5, "used": inner}]}}
+    assert found(spark, [(1, body)]) == sorted([
+        (1, 4, "tool_call", 0, 1), (1, 4, "excerpt", 1, 1), (1, 4, "excerpt", 1, 2), (1, 4, "tool_call", 1, 2), (1, 4, "excerpt", 2, 1), (1, 4, "excerpt", 2, 2),
+        (1, 4, "original", 0, 1), (1, 5, "tool_call", 0, 1), (1, 5, "excerpt", 1, 1), (1, 5, "excerpt", 1, 2)])
