@@ -4,6 +4,8 @@ Files are cut into chunks of whole lines.  A trigram index keeps, for each trigr
 detection regex requires, the chunks that have it (the *postings*).  The requirement of a regex is
 derived from its own parse tree (``required_trigrams``), so a new rule needs no hand-written key
 words.  Postings are intersected to candidate (chunk, rule) pairs, and only there the regexes run.
+Each batch of files is indexed, intersected and verified where it lies, so its contents aren't moved
+again; ``build_trigram_index`` writes the same postings as a table for an index that is to be kept.
 
 Defined results: null or empty contents have no lines and no credentials; LF, CRLF and lone CR end a
 line; a byte order mark belongs to the first line; several deliveries of an artifact count as one
@@ -14,12 +16,13 @@ never cut, so a chunk is as long as its longest line needs.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from re import _constants as sre  # the standard library's own regex parser
 from re import _parser as sre_parser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,14 +231,21 @@ def _columns(m: re.Match[str]) -> list[tuple[int, int]]:
 def secret_spans(lines: list[str], rules: list[str] | None = None, start: int = 0, stop: int | None = None) -> list[tuple[int, int, int, str]]:
     """(line index, start, end, rule) of every secret that begins in lines ``start`` to ``stop``; parts of one secret share its first line's order."""
     found: list[tuple[int, int, int, str, int]] = []
-    wanted = [(n, _COMPILED[n], _BY_NAME[n].check) for n in (rules if rules is not None else _COMPILED)]
+    gates = rule_gates()
+    wanted = [(n, _COMPILED[n], _BY_NAME[n].check, gates[n]) for n in (rules if rules is not None else _COMPILED)]
     skip = -1
     for i in range(start, len(lines) if stop is None else min(stop, len(lines))):
         line = lines[i]
         if i <= skip or len(line) < 8:
             continue
         taken: list[tuple[int, int]] = []
-        for name, regex, check in wanted:
+        low = line.lower()
+        for name, regex, check, gate in wanted:
+            for g in gate:  # a match lies in one line, so the line has what its rule requires
+                if g in low:
+                    break
+            else:
+                continue
             if check == "pem":
                 for m in regex.finditer(line):
                     tail = line[m.end() :]
@@ -399,6 +409,21 @@ def _holds(q: Query, have: frozenset[str]) -> bool:
     return (all if q[0] == "and" else any)(_holds(x, have) for x in q[1])
 
 
+def _gate(q: Query) -> frozenset[str]:
+    """Trigrams of which a text that satisfies the query has at least one (the empty one for any text): the fewest."""
+    if q[0] == "all":
+        return frozenset({""})
+    if q[0] == "tri":
+        return frozenset({q[1]})
+    gates = [_gate(x) for x in q[1]]
+    return min(gates, key=lambda g: ("" in g, len(g), sorted(g)[::-1])) if q[0] == "and" else frozenset().union(*gates)
+
+
+@cache
+def rule_gates() -> dict[str, tuple[str, ...]]:
+    return {n: tuple(sorted(_gate(q))) for n, q in rule_queries().items()}
+
+
 @cache
 def rule_queries() -> dict[str, Query]:
     return {r.name: required_trigrams(r.pattern) for r in RULES}
@@ -410,6 +435,27 @@ def index_trigrams() -> tuple[str, ...]:
     return tuple(sorted(set().union(*(_leaves(q) for q in rule_queries().values()))))
 
 
+@cache
+def _gram_table() -> tuple[list[str], np.ndarray, list[str]]:
+    """ASCII grams, a table from three bytes to their places (from 1), and the other grams."""
+    grams = [g for g in index_trigrams() if g.isascii()]
+    table = np.zeros(1 << 24, dtype=np.uint16)
+    for i, g in enumerate(grams, 1):
+        table[int.from_bytes(g.encode(), "big")] = i
+    return grams, table, [g for g in index_trigrams() if not g.isascii()]
+
+
+def trigrams_of(low: str) -> list[str]:
+    """The index' trigrams that a lower-cased text has."""
+    grams, table, others = _gram_table()
+    b = np.frombuffer(low.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+    if len(b) < 3:
+        return []
+    at = table[b[:-2] << 16 | b[1:-1] << 8 | b[2:]]
+    found = [grams[i - 1] for i in np.unique(at[at > 0]).tolist()]
+    return found if low.isascii() else found + [g for g in others if g in low]
+
+
 # ---------------------------------------------------------------- operators
 
 
@@ -431,14 +477,12 @@ def chunk_files(artifacts: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFra
 
 def build_trigram_index(chunks: DataFrame) -> DataFrame:
     """Postings ``trigram, artifact_id, chunk`` of the required trigrams (lower-cased text)."""
-    grams = index_trigrams()
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, nos, tris = [], [], []
             for a, c, lines in zip(pdf["artifact_id"], pdf["chunk"], pdf["lines"]):
-                text = "\n".join(lines).lower()
-                hit = [g for g in grams if g in text]
+                hit = trigrams_of("\n".join(lines).lower())
                 ids += [a] * len(hit)
                 nos += [c] * len(hit)
                 tris += hit
@@ -467,22 +511,51 @@ def candidates(postings: DataFrame) -> DataFrame:
     return per_chunk.select("artifact_id", "chunk", satisfied("have").alias("rules")).where("size(rules) > 0")
 
 
-def _verified(files: DataFrame, schema: str, emit) -> DataFrame:
+Postings = dict[str, set[tuple[int, int]]]
+
+
+def post(contents: Iterable[str | None]) -> Postings:
+    """Postings of a batch of files: for each required trigram the (file, chunk) places that have it."""
+    postings: Postings = {}
+    for i, content in enumerate(contents):
+        lines = split_lines(content or "")
+        for c in range(0, len(lines), CHUNK_LINES):
+            for g in trigrams_of("\n".join(lines[c : c + CHUNK_LINES]).lower()):
+                postings.setdefault(g, set()).add((i, c // CHUNK_LINES))
+    return postings
+
+
+def intersect(q: Query, postings: Postings) -> set[tuple[int, int]]:
+    """Places whose postings satisfy a query; the shortest postings are intersected first."""
+    if q[0] == "tri":
+        return postings.get(q[1], set())
+    if q[0] == "all":
+        return set().union(*postings.values())
+    parts = [intersect(x, postings) for x in q[1]]
+    return set.intersection(*sorted(parts, key=len)) if q[0] == "and" else set().union(*parts)
+
+
+def batch_candidates(contents: Iterable[str | None]) -> dict[int, list[dict]]:
+    """Per file of a batch its candidate chunks with their rules, in the rules' order."""
+    postings = post(contents)
+    at: dict[int, dict[int, list[str]]] = {}
+    for name, q in rule_queries().items():
+        for i, c in intersect(q, postings):
+            at.setdefault(i, {}).setdefault(c, []).append(name)
+    return {i: [{"chunk": c, "rules": r} for c, r in sorted(own.items())] for i, own in at.items()}
+
+
+def _verified(artifacts: DataFrame, schema: str, emit) -> DataFrame:
+    """Index, intersect and verify each batch of files where it lies: only the last deliveries are shuffled."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = emit(pdf)
+            at = batch_candidates(pdf["content"])
+            out = emit(pdf.assign(at=[at.get(i) for i in range(len(pdf))]))
             if len(out):
                 yield out
 
-    return files.mapInPandas(run, schema)
-
-
-def _candidate_files(artifacts: DataFrame) -> DataFrame:
-    """``artifact_id, content, at`` of files with candidates; ``at`` lists (chunk, rules)."""
-    files = current_artifacts(artifacts)
-    picked = candidates(build_trigram_index(chunk_files(files)))
-    per_file = picked.groupBy("artifact_id").agg(F.collect_list(F.struct("chunk", "rules")).alias("at"))
-    return files.join(per_file, "artifact_id")
+    return current_artifacts(artifacts).mapInPandas(run, schema)
 
 
 def _spans_of(content: str, at) -> list[tuple[int, int, int, str]]:
@@ -505,12 +578,12 @@ def find_credentials(artifacts: DataFrame) -> DataFrame:
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         rows: dict[tuple[str, int], str] = {}
         for i, content, at in zip(pdf["artifact_id"], pdf["content"], pdf["at"]):
-            for _, _, _, tag in _spans_of(content, at):
+            for _, _, _, tag in _spans_of(content, at) if at else ():
                 rule, _, first = tag.rpartition("@")
                 rows.setdefault((i, int(first) + 1), rule)
         return pd.DataFrame({"artifact_id": [k[0] for k in rows], "line": [k[1] for k in rows], "rule": list(rows.values())}).astype({"line": "int32"})
 
-    return _verified(_candidate_files(artifacts), "artifact_id string, line int, rule string", emit)
+    return _verified(artifacts, "artifact_id string, line int, rule string", emit)
 
 
 def mask_text(content: str, spans: list[tuple[int, int, int, str]]) -> str:
@@ -529,16 +602,13 @@ def mask_text(content: str, spans: list[tuple[int, int, int, str]]) -> str:
 
 def redact(artifacts: DataFrame) -> DataFrame:
     """``artifact_id, content, n_secrets``: every file, with only the secret values masked."""
-    files = current_artifacts(artifacts)
-    picked = candidates(build_trigram_index(chunk_files(files)))
-    per_file = picked.groupBy("artifact_id").agg(F.collect_list(F.struct("chunk", "rules")).alias("at"))
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         texts, counts = [], []
         for content, at in zip(pdf["content"], pdf["at"]):
-            spans = _spans_of(content, at) if at is not None and content else []
+            spans = _spans_of(content, at) if at and content else []
             texts.append(mask_text(content, spans) if spans else content)
             counts.append(len({s[3] for s in spans}))
         return pd.DataFrame({"artifact_id": pdf["artifact_id"], "content": texts, "n_secrets": counts})
 
-    return _verified(files.join(per_file, "artifact_id", "left"), "artifact_id string, content string, n_secrets long", emit)
+    return _verified(artifacts, "artifact_id string, content string, n_secrets long", emit)

@@ -67,6 +67,18 @@ def test_redaction_keeps_the_code(spark):
     assert again == 0
 
 
+def test_index_loses_no_line():
+    """Files of many chunks, a credential of each kind at other places: candidates see what all regexes see on every line."""
+    kinds = ['password = "Xk29fQ!aa81"', "token: ghp_" + "a1B2" * 9, "비밀번호: Gx81!kkq", "curl -u admin:Sx99kq! http://x", "postgres://u:Sx99kq1@h/db", "x = 1", "# nothing here", "인증키는 Zk88!qqp", "É" * 40, ""]
+    files = ["\n".join(kinds[(i * 7 + k * k) % len(kinds)] if (i + k) % 11 == 0 else f"line {k} of file {i}" for k in range(200)) for i in range(12)] + ["", None]
+    at = S.batch_candidates(files)
+    for i, f in enumerate(files):
+        every = {(k, a, b) for k, a, b, _ in S.secret_spans(S.split_lines(f or ""))}
+        assert {(k, a, b) for k, a, b, _ in S._spans_of(f or "", at.get(i, []))} == every
+    text = "\n".join(kinds).lower()
+    assert set(S.trigrams_of(text)) == {g for g in S.index_trigrams() if g in text}
+
+
 def test_deliveries_and_empty_tables(spark):
     df = spark.createDataFrame([("a", "password: siq5h%E44VidH", 1), ("a", "clean", 2), (None, "password: siq5h%E44VidH", 1)], "artifact_id string, content string, indexed_at long")
     assert S.find_credentials(df).count() == 0 and S.find_credentials(df.limit(0)).count() == 0
