@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -157,6 +158,8 @@ class RefusalAutomaton:
 
 
 _REFUSAL = RefusalAutomaton(REFUSALS)
+#: Beginnings of the phrases, one of which any text with a phrase has.
+_MAY_REFUSE = re.compile("|".join(map(re.escape, sorted({p[:6] for p in REFUSALS}))))
 
 
 class SuffixAutomaton:
@@ -193,7 +196,7 @@ class SuffixAutomaton:
 
     def covered(self, items: list[str], least: int) -> list[bool]:
         """Which of ``items`` lie in a run of ``least`` or more that the sequence also has."""
-        marks = [False] * len(items)
+        opens = [0] * (len(items) + 1)  # runs that begin, less those that end
         state = length = 0
         for i, x in enumerate(items):
             while state and x not in self.next[state]:
@@ -205,8 +208,9 @@ class SuffixAutomaton:
             else:
                 state = length = 0
             if length >= least:
-                marks[i - length + 1 : i + 1] = [True] * length
-        return marks
+                opens[i - length + 1] += 1
+                opens[i + 1] -= 1
+        return [depth > 0 for depth in accumulate(opens[:-1])]
 
 
 def _plain(text: str) -> str:
@@ -247,13 +251,14 @@ def language(text: str) -> str | None:
         return foreign
     if not words:
         return None
-    hangul = sum(1 for w in words if _HANGUL.search(w))
+    hangul = sum(1 for w in words if _HANGUL.search(w)) if _HANGUL.search(body) else 0
     latin = len(words) - hangul
     if hangul and (hangul >= 2 or len(body.strip()) <= 12 or hangul >= latin) and hangul * 3 >= latin:
         return "ko"
-    votes = {k: sum(w in stop for w in words) for k, stop in STOPWORDS.items()}
-    for k, mark in _MARKS.items():
-        votes[k] += sum(bool(mark.search(w)) for w in words)
+    votes = {k: sum(map(stop.__contains__, words)) for k, stop in STOPWORDS.items()}
+    if not body.isascii():
+        for k, mark in _MARKS.items():
+            votes[k] += sum(bool(mark.search(w)) for w in words)
     best = max(votes, key=lambda k: (votes[k], k == "en"))
     return best if votes[best] and (latin >= 3 or hangul) else None
 
@@ -286,6 +291,22 @@ def _is_value(gold: str) -> bool:
     return len(gold) <= 40 and not gold.rstrip().endswith(_END) and len(gold.split()) <= 4
 
 
+def _overlaps(text: str, start: str) -> Iterator[int]:
+    """Lengths of the beginnings of ``start`` that ``text`` ends with, longest first (prefix function, linear)."""
+    last = text[-len(start) :]
+    both = start + "\0" + last
+    reach = [0] * len(both)
+    for i in range(1, len(both)):
+        k = reach[i - 1]
+        while k and both[i] != both[k]:
+            k = reach[k - 1]
+        reach[i] = k + (both[i] == both[k])
+    k = reach[-1] if last else 0
+    while k:
+        yield k
+        k = reach[k - 1]
+
+
 def _cut_gold(answer: str, gold: str) -> bool | None:
     """True: the answer ends inside ``gold``; False: it ends with all of it, or between its sentences."""
     a, g = answer.lower(), gold.lower()
@@ -299,8 +320,8 @@ def _cut_gold(answer: str, gold: str) -> bool | None:
         return False
     tail = a.rstrip()
     best = 0
-    for k in range(min(len(tail), len(g)), 0, -1):
-        if tail.endswith(g[:k]) and (k == len(tail) or not tail[-k - 1].isalnum() and tail[-k - 1] not in "-.,:$"):
+    for k in _overlaps(tail, g):
+        if (k == len(tail) or not tail[-k - 1].isalnum() and tail[-k - 1] not in "-.,:$"):
             best = k
             break
     if not best:
@@ -355,7 +376,7 @@ def classify_pair(question: str | None, gold: list[str] | None, answer: str | No
     unreadable = len(text) <= 60 and bool(UNREADABLE.search(lowered))
     if not unreadable:
         quoted_out = _QUOTED.sub(" ", lowered) if lowered[:1] != "\"" else lowered
-        end = _REFUSAL.first_end(quoted_out)
+        end = _REFUSAL.first_end(quoted_out) if _MAY_REFUSE.search(quoted_out) else -1
         if 0 <= end and not any(_plain(g).lower() in lowered for g in refs):
             return "refusal"
     if ask:
