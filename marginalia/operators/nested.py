@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -56,10 +57,14 @@ def parse(text: Any) -> Any:
         return None
 
 
+#: What JSON allows around a value.
+_BLANKS = " \t\r\n"
+
+
 def _opened(x: Any) -> Any:
     """JSON inside of a string, read as many times as it was written."""
     inner = x
-    while isinstance(inner, str) and inner.lstrip()[:1] in ("[", "{", '"'):  # each layer of quotes is strictly shorter
+    while isinstance(inner, str) and inner.lstrip(_BLANKS)[:1] in ("[", "{", '"'):  # each layer of quotes is strictly shorter
         inner = parse(inner)
     return inner if isinstance(inner, (dict, list)) else x
 
@@ -117,8 +122,16 @@ def list_state(elements: set[str]) -> str:
     return "list<" + (known.pop() if len(known) == 1 else "mixed" if known else "") + ">"
 
 
-def _scalar(x: Any) -> str:
-    return "null" if x is None else type(x).__name__
+@lru_cache(maxsize=1 << 14)
+def _settled(children: tuple[tuple[str, str], ...]) -> str:
+    return transition(dict(children))
+
+
+_SCALAR = {str: "str", int: "int", float: "float", bool: "bool", type(None): "null"}
+
+
+#: How a string that may hold JSON begins, blanks included.
+_OPENERS = frozenset('[{" \t\r\n')
 
 
 class Tree:
@@ -127,7 +140,6 @@ class Tree:
     def __init__(self, root: Any) -> None:
         self._opened: dict[str, Any] = {}
         self._states: dict[int, str] = {}
-        self._known: dict[tuple, str] = {}
         self.root = self.open(root)
         stack = [(self.root, False)]
         while stack:
@@ -138,27 +150,34 @@ class Tree:
                 self._states[id(node)] = self._settle(node)
                 continue
             stack.append((node, True))
-            stack.extend((c, False) for c in map(self.open, node.values() if isinstance(node, dict) else node) if isinstance(c, (dict, list)))
+            for c in node.values() if isinstance(node, dict) else node:
+                if isinstance(c, str):
+                    if c[:1] in _OPENERS:
+                        c = self.open(c)
+                    else:
+                        continue
+                if isinstance(c, (dict, list)):
+                    stack.append((c, False))
 
     def _settle(self, node: Any) -> str:
         if isinstance(node, list):
             return list_state({self.state(x) for x in node})
-        key = tuple((k, self.state(v)) for k, v in node.items())
-        if key not in self._known:
-            self._known[key] = transition(dict(key))
-        return self._known[key]
+        return _settled(tuple([(k, self.state(v)) for k, v in node.items()]))
 
     def open(self, x: Any) -> Any:
         """What a string that holds JSON holds, the same object each time."""
-        if not isinstance(x, str) or x.lstrip()[:1] not in ("[", "{", '"'):
+        if not isinstance(x, str) or x.lstrip(_BLANKS)[:1] not in ("[", "{", '"'):
             return x
         if x not in self._opened:
             self._opened[x] = _opened(x)
         return self._opened[x]
 
     def state(self, x: Any) -> str:
-        x = self.open(x)
-        return self._states[id(x)] if isinstance(x, (dict, list)) else _scalar(x)
+        if isinstance(x, str):
+            if x[:1] not in _OPENERS:
+                return "str"
+            x = self.open(x)
+        return self._states[id(x)] if isinstance(x, (dict, list)) else _SCALAR[type(x)]
 
     def many(self, x: Any) -> list[Any]:
         """A list, a single thing in place of a list, or nothing."""
@@ -194,6 +213,21 @@ def _session(tree: Tree) -> dict[str, Any] | None:
     return counts
 
 
+def _holds_session(body: Any) -> bool:
+    """Whether a parsed body has a session; the usual key settles it without the states."""
+    queue = deque([_opened(body)])
+    while queue:
+        x = queue.popleft()
+        if isinstance(x, dict):
+            if TURNS in x:
+                return True
+            x = x.values()
+        elif not isinstance(x, list):
+            continue
+        queue.extend(o for v in x if isinstance(o := _opened(v), (dict, list)))
+    return _session(Tree(body)) is not None
+
+
 def _turns(tree: Tree, session: dict[str, Any]) -> Iterator[tuple[int, dict[str, Any]]]:
     turns = tree.open(tree.child(session, TURNS, frozenset({"list<turn>", "map<turn>"})))
     pairs = turns.items() if isinstance(turns, dict) and tree.state(turns) != "turn" else enumerate(tree.many(turns), 1)
@@ -337,7 +371,7 @@ def whole_records(records: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kept = pdf[[_session(Tree(parse(b))) is not None for b in pdf["body"]]]
+            kept = pdf[[_holds_session(parse(b)) for b in pdf["body"]]]
             if len(kept):  # Arrow has no type for an empty frame's columns
                 yield kept
 
