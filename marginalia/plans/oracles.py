@@ -90,6 +90,22 @@ def _policy() -> str:
     return f"SELECT doc_id, {', '.join(flags)}, regexp_matches(t, {_q(policy.VISUAL)}) AS visual FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 
 
+def _classes(source: str, key: str, text: str) -> str:
+    """Mode and reasons of texts: which rules fire, else visual words, else whether every line reads as a sentence."""
+    fired = ", ".join(f"CASE WHEN {_fired(ps)} THEN '{r}' END" for r, ps in policy.RULES)
+    ws = policy.WS
+    trim = lambda c: f"regexp_replace(regexp_replace({c}, '^{ws}+', ''), '{ws}+$', '')"
+    sentence = (
+        r"length(regexp_replace(l, '[^\p{L}]', '', 'g')) >= 0.6 * length(l) AND regexp_matches(l, '[.!?]$') AND NOT regexp_matches(l, '[`{}\[\]|<>\\]')"
+        r" AND len(regexp_extract_all(l, '\p{L}[\p{L}''-]*')) >= 5 AND NOT regexp_matches(l, '\b[A-Z_]{2,}\b')"
+    )
+    return f"""src AS (SELECT {key}, coalesce({text}, '') AS t FROM {source}),
+rules AS (SELECT {key}, t, list_filter([{fired}], lambda r: r IS NOT NULL) AS fired, regexp_matches(t, {_q(policy.VISUAL)}) AS visual, {trim("t")} AS body FROM src),
+said AS (SELECT *, list_filter(list_transform(string_split(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {trim("x")}), lambda x: x <> '') AS ls FROM rules),
+classes AS (SELECT {key}, t, CASE WHEN len(fired) > 0 THEN 'exact' WHEN visual THEN 'visual' WHEN {_units("body")} >= 24 AND len(ls) > 0 AND len(list_filter(ls, lambda l: NOT ({sentence}))) = 0 THEN 'semantic' ELSE 'unknown' END AS mode,
+  list_filter(fired, lambda r, i: list_position(fired, r) = i) AS reasons FROM said)"""
+
+
 def _json_hash(kind: str, *parts: str) -> str:
     return f"sha256('[\"{ALGORITHM}\",\"{SEED}\",\"{kind}\",' || " + " || ',' || ".join(parts) + " || ']')"
 
@@ -272,6 +288,20 @@ SELECT w, h, greatest(1, floor(w * z + 0.5))::INTEGER AS ow, greatest(1, floor(h
     "paired_coverage": f"""WITH {_RUNS}, {_LEDGER}, arms(arm) AS (VALUES ('S0'), ('S1'), ('S2'), ('S3'), ('S4'), ('S9'))
 SELECT arms.arm, any_value(planned)::BIGINT AS planned, count(led.arm) AS submitted, (any_value(planned) - count(led.arm))::BIGINT AS missing, count(*) FILTER (outcome = 'ungraded') AS ungraded FROM size, arms LEFT JOIN led ON arms.arm = led.arm GROUP BY arms.arm""",
     "started_means": f"WITH {_TURNS}, {_MATCH}, {_GRADED} SELECT condition, count(*) AS runs, count(*) FILTER (outcome = 'not_started') AS not_started, round(avg(correct::INT) FILTER (outcome <> 'not_started')::DOUBLE, 9) AS accuracy FROM window_arm GROUP BY condition",
+    "policy_mode": f"""WITH {_classes("documents", "doc_id", "text")}
+SELECT doc_id, mode, CASE mode WHEN 'exact' THEN array_to_string(reasons, ',') WHEN 'visual' THEN 'visual_context' WHEN 'semantic' THEN 'natural_language' ELSE 'insufficient_semantic_signal' END AS reasons, mode = 'semantic' AS lossy_allowed FROM classes""",
+    "policy_artifacts": f"""WITH one AS (SELECT artifact_id, content FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY indexed_at DESC) AS k FROM artifact_record) WHERE k = 1),
+{_classes("one", "artifact_id", "content")} SELECT mode, count(*) AS artifacts FROM classes GROUP BY mode""",
+    "gated_summary": f"""WITH {_classes("documents", "doc_id", "text")}, ok AS (SELECT doc_id, t AS text FROM classes WHERE mode = 'semantic'), {_raw("ok", "doc_id", "text")},
+m AS (SELECT doc_id, line, text, {_units("text")} AS u, {_cjk("text")} AS c, {_words("text")} AS w FROM parts),
+r AS (SELECT doc_id, line, text, sum(u) OVER o + line - 1 AS u, sum(c) OVER o AS c, sum(w) OVER o AS w FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, {_tokens("u", "c", "w")} AS tok FROM r),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (tok <= {BUDGET}) AS kept_lines, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (tok <= {BUDGET}), '') AS summary, coalesce(max(tok) FILTER (tok <= {BUDGET}), 0)::INTEGER AS tokens, bool_or(tok > {BUDGET} AND regexp_matches(text, '[^{WS}]')) AS l FROM k GROUP BY doc_id)
+SELECT doc_id, n_lines, kept_lines, summary, tokens, (kept_lines > 0 AND l) AS truncated, CASE WHEN kept_lines = 0 THEN 'summary_span_exceeds_budget' END AS fallback_reason FROM g
+UNION ALL SELECT doc_id, NULL, 0, '', 0, false, mode || '_content_requires_source' FROM classes WHERE mode <> 'semantic'""",
+    "query_variants": f"""WITH {_TURNS}, q AS (SELECT DISTINCT question FROM turns), w AS (SELECT question, list_transform(string_split_regex(question, '\\s+'), lambda x: regexp_replace(x, '[.:?]+$', '')) AS ws FROM q)
+SELECT question, array_to_string(list_filter(ws, lambda x: x <> '' AND NOT list_contains(['the','a','an','of','to','in','on','at','is','are','was','were','be','what','which','how','why','please','with','and','or'], lower(x))), ' ') AS keywords,
+  CASE WHEN len(list_filter(ws, lambda x: regexp_matches(x, '[0-9]'))) > 0 THEN array_to_string(list_filter(ws, lambda x: regexp_matches(x, '[0-9]')), ' ') END AS entity FROM w""",
 }
 
 

@@ -10,31 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's own checkpoint folder; only where none is set, a local one (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    """Use the session's own checkpoint folder; only a local session may do without (tests)."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read on from there.
 
     The files are in shared storage, so a lost executor costs nothing but a new read.
-    ``keep_layout`` plans the write without run-time re-planning, so that Spark still knows by which
-    columns the rows are laid out and later aggregates by them need no shuffle.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    if not keep_layout:
-        return df.checkpoint(eager=True)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
