@@ -7,7 +7,7 @@ partitions are merged by clustering their centroids again.  Since every centroid
 its values, a digest bounds the rank of any value; a second counting pass makes it exact.
 
 Everything is window and aggregate SQL: values are sorted and clustered inside salted buckets, so a
-group that holds a third of all rows is spread over ``salts`` tasks, and only centroids meet.
+group that holds a third of all rows is spread over ``salts_for`` tasks, and only centroids meet.
 
 Defined results: a sample counts once per ``sample_id`` (deliveries repeat it); null, NaN and
 negative latencies don't count; names are compared without case and outer blanks; groups without a
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DELTA = 200
-SALTS = 16
+#: Samples of one group in one task, about, when a group holds a third of all.
+SALT_ROWS = 200_000
+FAN_IN = 16
 #: Percentage points of rank by which a reported percentile may be off.
 RANK_TOLERANCE = 2.0
 
@@ -32,8 +34,14 @@ def scenario(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, r"^\s+|\s+$", "")))
 
 
-def clean_samples(run_sample: DataFrame, salts: int = SALTS) -> DataFrame:
+def salts_for(run_sample: DataFrame) -> int:
+    """Tasks over which a group that holds a third of all samples is spread."""
+    return 1 + run_sample.count() // (3 * SALT_ROWS)
+
+
+def clean_samples(run_sample: DataFrame, salts: int | None = None) -> DataFrame:
     """One row per counted sample: ``series_id, name, shard, day, salt, v``, laid out by (series, name, salt)."""
+    salts = salts or salts_for(run_sample)
     v = F.col("latency_ms")
     rows = run_sample.where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & F.col("sample_id").isNotNull() & F.col("series_id").isNotNull() & F.col("name").isNotNull()).select(
         "series_id",
@@ -82,7 +90,7 @@ def build_digests(samples: DataFrame, keys: list[str], delta: int = DELTA, sprea
 def merge_digests(digests: DataFrame, keys: list[str], fan_in: list[str] | None = None, delta: int = DELTA) -> DataFrame:
     """Digests of coarser ``keys`` from finer ones; ``fan_in`` columns give a level in between for hot keys."""
     if fan_in:
-        buckets = digests.withColumn("b", F.pmod(F.xxhash64(*fan_in), F.lit(SALTS)))
+        buckets = digests.withColumn("b", F.pmod(F.xxhash64(*fan_in), F.lit(FAN_IN)))
         digests = _merge(buckets.select(*keys, "b", "mean", "weight", "lo", "hi"), [*keys, "b"], delta)
     return _merge(digests.select(*keys, "mean", "weight", "lo", "hi"), keys, delta)
 
@@ -115,7 +123,7 @@ def _bounds(value: Column) -> dict[str, Column]:
     }
 
 
-def certified_percentiles(samples: DataFrame, keys: list[str], qs: tuple[float, ...] = (0.5, 0.95), delta: int = DELTA) -> DataFrame:
+def certified_percentiles(samples: DataFrame, keys: list[str], qs: tuple[float, ...] = (0.5, 0.95), delta: int = DELTA, salts: int | None = None) -> DataFrame:
     """``keys + n, q, value, rank_error``: digest estimates with their true rank error from a counting pass.
 
     ``rank_error`` is in percentage points: the distance from ``100 q`` to the span between the
@@ -125,8 +133,11 @@ def certified_percentiles(samples: DataFrame, keys: list[str], qs: tuple[float,
     samples = samples.dropna(subset=keys)
     est = percentiles(build_digests(samples, keys, delta), keys, qs).select(*keys, "n", "q", "value")
     wide = est.groupBy(*keys).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("q", "value"))).alias("e"))
-    # each estimate meets its group's values once per salt, so a hot group's count is spread too
-    spread = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # each estimate meets its group's values once per salt that the group has, so a hot group's count is spread too
+    if salts:
+        spread = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    else:
+        spread = wide.join(samples.select(*keys, "salt").distinct(), keys)
     counts = [(F.sum((F.col("v") < F.get("e", F.lit(i))["value"]).cast("long")).alias(f"b{i}"), F.sum((F.col("v") <= F.get("e", F.lit(i))["value"]).cast("long")).alias(f"u{i}")) for i in range(len(qs))]
     flat = [c for pair in counts for c in pair]
     part = samples.join(spread, [*keys, "salt"]).groupBy(*keys, "salt").agg(F.first("n").alias("n"), F.first("e").alias("e"), *flat)

@@ -43,7 +43,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _certified(*keys: str) -> Query:
-    return lambda spark, d: digest.certified_percentiles(digest.clean_samples(table(spark, d, "run_sample")), list(keys))
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        samples = table(spark, d, "run_sample")
+        salts = digest.salts_for(samples)
+        return digest.certified_percentiles(digest.clean_samples(samples, salts), list(keys), salts=salts)
+
+    return query
 
 
 def p2_merged_days(spark: SparkSession, d: str) -> DataFrame:
