@@ -81,23 +81,30 @@ def shard_quotas(shards: DataFrame, quotas: DataFrame, block: int) -> DataFrame:
     each = cut(shards.where("held > 0").join(F.broadcast(quotas), "source").withColumn("cap", cap))  # a row per target
     dealt = lambda d: F.least(F.col("cap"), F.floor((F.col("held") / d + 1) / 2))
     keys = ["mix_name", "source"]
-    low, high = F.lit(0.0), F.max("held") * 2.0
-    spans = {(r["mix_name"], r["source"]): (r["low"], r["high"], r["blocks"]) for r in each.groupBy(*keys).agg(low.alias("low"), high.alias("high"), F.first("blocks").alias("blocks")).collect()}  # a row per target
+    # at the least divisor every shard has its cap, at the largest none has a block
+    first = each.groupBy(*keys).agg((F.max("held") * 2.0).alias("high"), F.least(F.first("blocks"), F.sum("cap")).alias("blocks")).collect()  # a row per target
+    spans = {(r["mix_name"], r["source"]): (r["high"] * 2.0**-45, r["high"], r["blocks"]) for r in first}
     schema = "mix_name string, source string, low double, high double"
+    open_ = set(spans)
     for _ in range(PASSES):
-        rows = [(*k, lo, hi) for k, (lo, hi, _) in spans.items()]
-        at = lambda i: F.col("low") + (F.col("high") - F.col("low")) * (i / WAYS)
+        if not open_:
+            break
+        at = lambda i: F.col("low") * F.pow(F.col("high") / F.col("low"), F.lit(i / WAYS))
+        rows = [(*k, *spans[k][:2]) for k in sorted(open_)]
         j = each.join(F.broadcast(shards.sparkSession.createDataFrame(rows, schema)), keys)  # a row per target
-        for r in j.groupBy(*keys).agg(F.first("low").alias("low"), F.first("high").alias("high"), *[F.sum(dealt(at(i))).alias(f"n{i}") for i in range(1, WAYS)]).collect():
-            lo, hi, blocks = spans[r["mix_name"], r["source"]]
-            cuts = [(lo + (hi - lo) * (i / WAYS), r[f"n{i}"]) for i in range(1, WAYS)]
-            above, below = [d for d, n in cuts if n <= blocks], [d for d, n in cuts if n > blocks]
-            spans[r["mix_name"], r["source"]] = (max(below, default=lo), min(above, default=hi), blocks)
+        tried = [F.struct(F.first(at(i)).alias("d"), F.sum(dealt(at(i))).alias("n")) for i in range(1, WAYS)]
+        for r in j.groupBy(*keys).agg(F.array(*tried).alias("cuts")).collect():
+            k = (r["mix_name"], r["source"])
+            lo, hi, blocks = spans[k]
+            above, below = [c["d"] for c in r["cuts"] if c["n"] <= blocks], [c["d"] for c in r["cuts"] if c["n"] > blocks]
+            spans[k] = (max(below, default=lo), min(above, default=hi), blocks)
+            if any(c["n"] == blocks for c in r["cuts"]):
+                open_.discard(k)
     rows = [(*k, lo, hi) for k, (lo, hi, _) in spans.items()]
     j = each.join(F.broadcast(shards.sparkSession.createDataFrame(rows, schema)), keys)  # a row per target
-    j = j.withColumn("n", dealt(F.col("high"))).withColumn("more", F.when(F.col("low") > 0, dealt(F.col("low"))).otherwise(F.col("cap")))
-    near = j.where("more > n").withColumn("k", F.explode(F.sequence(F.col("n"), F.col("more") - 1)))
-    total = j.groupBy(*keys).agg((F.first("blocks") - F.sum("n")).alias("left"))
+    j = j.withColumn("n", dealt(F.col("high"))).withColumn("more", dealt(F.col("low")))
+    near = j.where("more > n").join(F.broadcast(j.sparkSession.createDataFrame([*sorted(open_)] or [("", "")], "mix_name string, source string")), keys).withColumn("k", F.explode(F.sequence(F.col("n"), F.col("more") - 1)))
+    total = j.groupBy(*keys).agg((F.least(F.first("blocks"), F.sum("cap")) - F.sum("n")).alias("left"))
     order = Window.partitionBy(*keys).orderBy((F.col("held") / (2 * F.col("k") + 1)).desc(), "shard")
     extra = near.withColumn("r", F.row_number().over(order)).join(F.broadcast(total), keys).where("r <= left").groupBy(*keys, "shard").agg(F.count("*").alias("extra"))  # a row per target
     q = j.join(extra, [*keys, "shard"], "left").withColumn("q", F.col("n") + F.coalesce("extra", F.lit(0)))
